@@ -14,6 +14,8 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut
+
 SEPARATORS = (",", ";", "\t", "|")
 
 # Cells that mean "no figure", and first cells of the two code lines.
@@ -147,7 +149,7 @@ def schema_changes(lines: DataFrame, least_match: float = 0.7) -> DataFrame:
     without a figure or code in either file have no 'retyped', 'tcode' or 'group'. Files are ordered by
     vintage_month whatever their arrival; a feed has at most one file a month, which bounds its window.
     """
-    cells = read_cells(lines)
+    cells = cut(read_cells(lines))  # parsed once; seven branches below read it
     how = notation(F.col("cell"))
     date_how = F.regexp_replace(F.regexp_replace("cell", r"\d+", "9"), r"[^9]", "/")
     date_how = F.when(F.col("is_date"), F.concat(F.lit("@"), F.when(F.col("cell").rlike(r"^\d{4}"), "y").otherwise("m"), date_how)).otherwise(how)
@@ -169,7 +171,7 @@ def schema_changes(lines: DataFrame, least_match: float = 0.7) -> DataFrame:
     props = F.struct("is_date", "how", "tcode", "grp").alias("p")
     new = step.join(fields.select("feed_id", F.col("vintage_month").alias("at"), "field", props), ["feed_id", "at"]).select("feed_id", "at", "field", F.col("p").alias("n"))
     old = step.join(fields.select("feed_id", F.col("vintage_month").alias("old_month"), "field", props), ["feed_id", "old_month"]).select("feed_id", "at", "field", F.col("p").alias("o"))
-    both = old.join(new, ["feed_id", "at", "field"], "full_outer")
+    both = cut(old.join(new, ["feed_id", "at", "field"], "full_outer"))
     gone, fresh = both.filter("n is null"), both.filter("o is null")
 
     dates = gone.filter("o.is_date").select("feed_id", "at", F.col("field").alias("former"), "o").join(fresh.filter("n.is_date").select("feed_id", "at", "field", "n"), ["feed_id", "at"])
