@@ -20,8 +20,8 @@ def centroids(points: DataFrame, spherical: bool = True) -> DataFrame:
 
 def distances(points: DataFrame, centers: DataFrame) -> DataFrame:
     """(id, label, distance) of every point to every center; centers are a handful of states."""
-    c = centers.select(F.col("label").alias("center_label"), "center")
-    return points.select("id", "x").join(F.broadcast(c), how="cross").select("id", F.col("center_label").alias("label"), cosine_distance(F.col("x"), F.col("center")).alias("distance"))
+    c = centers.select(F.col("label").alias("center_label"), unit(F.col("center")).alias("center"))
+    return points.select("id", unit(F.col("x")).alias("x")).join(F.broadcast(c), how="cross").select("id", F.col("center_label").alias("label"), cosine_distance(F.col("x"), F.col("center")).alias("distance"))
 
 
 def nearest(dist: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def center_order(s, d):
 def indicator_means(s, d):
     m = V.macro_panel(s, d).join(V.regimes(V.macro_panel(s, d)), "month")
     x = X.finite(F.col("value"))
-    return m.groupBy("series", "label").agg(F.round(F.avg(x), 4).alias("mean"), F.count(x).alias("n"))
+    return m.groupBy("series", "label").agg(F.round(F.avg(x), 7).alias("mean"), F.count(x).alias("n"))
 
 
 def indicator_minmax(s, d):
@@ -283,7 +283,7 @@ QUERIES = {f.__name__: f for f in (
 
 _IND = f"{MACRO}, lab as (select distinct month, (({MI('month')} * 7 + {MI('month')} // 5) % 6)::int as label from macro), im as (select series, label, avg(value) as mean, count(value) as n from macro join lab using (month) group by all)"
 _MM = _IND + ", mm as (select series, label, case when max(mean) over w = min(mean) over w then 0 else (mean - min(mean) over w) / nullif(max(mean) over w - min(mean) over w, 0) end as scaled from im window w as (partition by series))"
-_COV = lambda shrink, eps: f"with {RET} select a.ticker as a, b.ticker as b, round(case when a.ticker = b.ticker then covar_samp(a.r, b.r) + {eps} else (1 - {shrink}) * covar_samp(a.r, b.r) end, 10) as cov from ret a join ret b using (month) group by all"
+_COV = lambda shrink, eps: f"with {RET}, cv as (select a.ticker as a, b.ticker as b, covar_samp(a.r, b.r) as c from ret a join ret b using (month) group by all) select a, b, round(case when a = b then c + {eps} else (1 - {shrink}) * c end, 10) as cov from cv"
 _LEDGER = LO2 + """, held as (select sc.month, sc.ticker, coalesce(weight, 0) as w, r from sc left join lo2 using (month, ticker) join ret using (month, ticker)),
   hg as (select *, sum(w * r) over (partition by month) as g from held), he as (select *, lag(w * (1 + r) / (1 + g)) over (partition by ticker order by month) as before from hg),
   led as (select month, any_value(g) as net, sum(abs(w - coalesce(before, 0))) as turnover, sum(abs(w)) as gross_exposure, sum(w) as net_exposure from he group by month),
@@ -315,7 +315,7 @@ SQL = {
     "next_probabilities": f"with {CEN}, {TRANS}, d6 as (select * from dist where label < 6), sf as (select id, label, (1 - distance / sum(distance) over (partition by id)) / 5 as p from d6), q as (select id, dst as label, sum(sf.p * mat.p) as q from sf join mat on sf.label = mat.src group by all) select id, label, round(q / sum(q) over (partition by id), 8) as p from q",
     "modal_regime": f"with {SOFT} select id, arg_min(label, (-round(p, 9), label)) as label from soft group by id",
     "center_order": f"with {CEN} select label, (row_number() over (order by center) - 1)::int as number from cen",
-    "indicator_means": f"with {_IND} select series, label, round(mean, 4) as mean, n from im",
+    "indicator_means": f"with {_IND} select series, label, round(mean, 7) as mean, n from im",
     "indicator_minmax": f"with {_MM} select series, label, round(scaled, 8) as scaled from mm",
     "indicator_extremes": f"with {_MM} select label, arg_max(series, (round(scaled, 9), -series)) as highest, arg_min(series, (round(scaled, 9), series)) as lowest from mm group by label",
     "downturn_islands": f"with {MACRO}, t as (select month, sum(value) v from macro group by 1), f as (select month, coalesce(v < lag(v) over (order by month), false) as down from t), g as (select *, row_number() over (order by month) - row_number() over (partition by down order by month) as k from f) select min(month) as first_month, max(month) as last_month, count(*) as n_months from g where down group by k",
