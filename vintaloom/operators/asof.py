@@ -16,9 +16,9 @@ def attach_as_of(
     with few boundaries, so that list is joined by broadcast only if Spark finds it small. Each later shard
     gets one carry-in row, the greatest version before its start, so shards merge independently and the
     result doesn't depend on the cuts. Events without entity or time get NULL; versions without them are
-    never known. All columns of events are kept; repeated events stay repeated.
+    never known. All columns of events but one called `payload` are kept; repeated events stay repeated.
     """
-    base = list(events.columns)
+    base = [c for c in events.columns if c != payload]
     e = events.select(F.col(entity).alias("_e"), F.col(event_time).alias("_t"), F.lit(True).alias("_event"), F.lit(None).cast(versions.select(rank.alias("r")).schema["r"].dataType).alias("_r"), F.struct(*base).alias("_row"))
     v = versions.filter(F.col(version_entity).isNotNull() & F.col(version_time).isNotNull()).select(
         F.col(version_entity).alias("_e"), F.col(version_time).alias("_t"), F.lit(False).alias("_event"), rank.alias("_r"), F.lit(None).cast(e.schema["_row"].dataType).alias("_row")
@@ -40,7 +40,7 @@ def attach_as_of(
     # at equal times events (true) come first, so that only strictly earlier versions are seen; carry-in rows have no time and lead
     in_time = W.partitionBy("_e", "_shard").orderBy(F.asc_nulls_first("_u"), F.desc("_event")).rowsBetween(W.unboundedPreceding, W.currentRow)
     known = merged.withColumn("_known", F.max("_r").over(in_time)).filter("_event").select("_row.*", F.col("_known").alias(payload))
-    lost = events.filter(F.col(entity).isNull() | F.col(event_time).isNull())
+    lost = events.filter(F.col(entity).isNull() | F.col(event_time).isNull()).select(*base)
     return known.unionByName(lost, allowMissingColumns=True)
 
 

@@ -110,9 +110,8 @@ def fill_panel(
     decoded = decoded.withColumn("filled_value", F.when((F.col("_lag") == F.col("_bin_mode")) & F.col("_carried").isNotNull(), F.col("_carried")).otherwise(median))
     decoded = decoded.withColumns({"filled_as": F.when(F.col("_has_carry"), "ffill").otherwise("median"), "filled_prob": F.col("_bin_prob")})
     for t in targets:
-        states = list(categories[t]) or [""]
-        mode = F.col(f"_c_{t}_mode")
-        decoded = decoded.withColumn(f"filled_{t}", F.when(F.col(t).isNull(), F.coalesce(F.get(F.array(*[F.lit(x) for x in states]), mode), F.lit(states[0]))))
+        states = [F.lit(x) for x in categories[t]] or [F.lit(None).cast("string")]
+        decoded = decoded.withColumn(f"filled_{t}", F.when(F.col(t).isNull(), F.coalesce(F.get(F.array(*states), F.col(f"_c_{t}_mode")), states[0])))
     keep = panel.columns + ["filled_as", "filled_value", "filled_prob", *(f"filled_{t}" for t in targets)]
     rest = coded.filter(~F.coalesce(F.col(fill), F.lit(False)))
     return decoded.select(*keep).unionByName(rest.select(*panel.columns), allowMissingColumns=True)
@@ -132,8 +131,8 @@ def fill_macro(macro: DataFrame) -> DataFrame:
     })
     m = m.withColumns({
         "_obs": F.col("_how") == 0, "_gap": F.col("_how") != 0, "_mark": F.col("_how").cast("string"),
-        # a reason is a missing cell only where there is something to explain
-        "why": F.when((F.col("_how") != 0) & F.col("_silent"), F.lit(None)).when(F.col("_silent"), F.lit("")).otherwise(reason_key(F.col("value_reason"))),
+        # the tree learns from reasons stated for missing figures, so a filled reason explains a gap
+        "why": F.when((F.col("_how") != 0) & ~F.col("_silent"), reason_key(F.col("value_reason"))),
     })
     states = dictionary(m, "why")
     groups = [str(i) for i in range(1, 9)]
