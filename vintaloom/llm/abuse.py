@@ -68,10 +68,10 @@ def letter_table() -> np.ndarray:
 
 
 def skeleton(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all texts in a row, sentences separated by BREAK, and the text number of every code."""
+    """Codes of all texts in a row, BREAK before every sentence, and the text number of every code."""
     fixed = [repair(t) if t and _TWICE.search(t) else (t or "") for t in texts]
     lengths = np.array([len(t) for t in fixed], dtype=np.int64)
-    cp = np.frombuffer("\n".join([*fixed, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    cp = np.frombuffer("".join(["\n" + t for t in fixed]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     owner = np.repeat(np.arange(len(fixed)), lengths + 1)
     low = np.where(cp < 65_536, cp, 0)
     codes = letter_table()[low]
@@ -131,8 +131,8 @@ class AbuseModel:
 
     def sentence_margins(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Margin of every sentence and the position where it starts."""
-        starts = np.flatnonzero(np.append(True, codes[1:] == BREAK)) if len(codes) else np.zeros(0, dtype=np.int64)
-        if not len(codes):
+        starts = np.flatnonzero(codes == BREAK)
+        if not len(starts):
             return np.zeros(0), starts
         s1, s2 = np.zeros(len(codes)), np.zeros(len(codes))
         for ids in grams(codes):
@@ -140,7 +140,8 @@ class AbuseModel:
             s1[ok] += (self.weight * self.scale)[ids[ok]]
             s2[ok] += (self.scale * self.scale)[ids[ok]]
         a, b = np.add.reduceat(s1, starts), np.add.reduceat(s2, starts)
-        return a / np.sqrt(b + DAMPING) + self.bias, starts
+        letters = np.diff(np.append(starts, len(codes))) > 1
+        return np.where(letters, a / np.sqrt(b + DAMPING) + self.bias, -np.inf), starts
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Probability of the most abusive sentence of each text; 0 for a text without letters."""
@@ -148,7 +149,7 @@ class AbuseModel:
         margins, starts = self.sentence_margins(codes)
         top = np.full(len(texts), -np.inf)
         if len(starts):
-            np.maximum.at(top, owner[np.minimum(starts + (codes[starts] == BREAK), len(owner) - 1)], margins)
+            np.maximum.at(top, owner[starts], margins)
         return 1 / (1 + np.exp(-np.clip(top, -700, 700)))
 
 
