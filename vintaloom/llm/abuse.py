@@ -150,7 +150,7 @@ class AbuseModel:
         top = np.full(len(texts), -np.inf)
         if len(starts):
             np.maximum.at(top, owner[starts], margins)
-        return 1 / (1 + np.exp(-np.clip(top, -700, 700)))
+        return np.where(np.isfinite(top), 1 / (1 + np.exp(-np.clip(top, -700, 700))), 0.0)
 
 
 def _fit(x: list[np.ndarray], y: np.ndarray, scale: np.ndarray, ridge: float, steps: int) -> tuple[np.ndarray, float]:
