@@ -23,7 +23,7 @@ def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     missing = [k for k in keys if k not in df.columns]
     if missing:
         raise ContractError(f"no column {missing}")
-    bad = key_violations(df, keys).limit(1).collect()
+    bad = key_violations(df, keys).limit(1).collect() if keys else []
     if bad:
         raise ContractError(f"key {keys} is not unique or NULL: {bad[0].asDict()}")
     return df

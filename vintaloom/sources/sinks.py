@@ -1,0 +1,73 @@
+"""Checked table sinks and run folders."""
+
+from __future__ import annotations
+
+import json
+import os
+from collections.abc import Sequence
+from pathlib import Path
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..operators.constraints import ContractError, require_unique
+
+
+def check_table(df: DataFrame, columns: Sequence[str], keys: Sequence[str], nullable: Sequence[str] = ()) -> DataFrame:
+    """df with exactly these columns in this order, a unique key, NULLs only where allowed and finite numbers only."""
+    if sorted(df.columns) != sorted(columns):
+        raise ContractError(f"columns are {df.columns}, not {list(columns)}")
+    df = df.select(*columns)
+    faults = {c: F.count_if(F.col(c).isNull()) for c in columns if c not in nullable} | {f"{c} not finite": F.count_if(F.isnan(c) | (F.abs(F.col(c)) == float("inf"))) for c, t in df.dtypes if t in ("double", "float")}
+    counts = df.agg(*[v.alias(k) for k, v in faults.items()]).first().asDict() if faults else {}
+    bad = {k: v for k, v in counts.items() if v}
+    if bad:
+        raise ContractError(f"faulty cells: {bad}")
+    return require_unique(df, keys)
+
+
+class RunFolder:
+    """A run's tables under one folder: reserved once, every table written once, closed by a manifest.
+
+    status goes running -> succeeded or failed; a finished run is never written again.
+    """
+
+    def __init__(self, path: str, run_id: str, config: dict):
+        self.path = Path(path)
+        os.makedirs(self.path, exist_ok=False)
+        self.manifest = {"run_id": run_id, "config": config, "status": "running", "tables": {}}
+        self._publish()
+
+    def _publish(self) -> None:
+        tmp = self.path / ".run_manifest.tmp"
+        tmp.write_text(json.dumps(self.manifest, sort_keys=True, indent=1, allow_nan=False))
+        os.replace(tmp, self.path / "run_manifest.json")
+
+    def write(self, name: str, df: DataFrame, columns: Sequence[str], keys: Sequence[str], nullable: Sequence[str] = (), form: str = "parquet") -> None:
+        if self.manifest["status"] != "running":
+            raise ContractError("the run is closed")
+        target = str(self.path / name)
+        checked = check_table(df, columns, keys, nullable)
+        (checked.write.mode("errorifexists").option("header", True) if form == "csv" else checked.write.mode("errorifexists")).format(form).save(target)
+        stored = df.sparkSession.read.option("header", True).format(form).load(target)
+        digest = stored.agg(F.count("*"), F.sum(F.xxhash64(*[F.col(c).cast("string") for c in columns]).cast("decimal(38,0)"))).first()
+        self.manifest["tables"][name] = {"format": form, "columns": list(columns), "keys": list(keys), "rows": digest[0], "digest": str(digest[1])}
+        self._publish()
+
+    def close(self, error: str | None = None) -> None:
+        self.manifest["status"] = "failed" if error else "succeeded"
+        if error:
+            self.manifest["error"] = error
+        self._publish()
+
+    @staticmethod
+    def verify(spark, path: str) -> dict:
+        """The manifest, or ContractError if a table's rows or content differ from what was written."""
+        manifest = json.loads((Path(path) / "run_manifest.json").read_text())
+        if manifest["status"] != "succeeded":
+            raise ContractError(f"the run has status {manifest['status']}")
+        for name, t in manifest["tables"].items():
+            stored = spark.read.option("header", True).format(t["format"]).load(str(Path(path) / name))
+            n, h = stored.agg(F.count("*"), F.sum(F.xxhash64(*[F.col(c).cast("string") for c in t["columns"]]).cast("decimal(38,0)"))).first()
+            if (n, str(h)) != (t["rows"], t["digest"]):
+                raise ContractError(f"table {name} was changed")
+        return manifest
