@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import importlib
 import sys
 
 from .operators.constraints import ContractError
@@ -13,20 +12,7 @@ from .sources.sinks import RunFolder
 
 
 def catalog() -> dict:
-    modules = [problems, panels, models, streams]
-    try:
-        modules += [importlib.import_module(f"{p}.queries") for p in _extensions()]
-    except ImportError:
-        pass
-    return {name: f for m in modules for name, f in m.QUERIES.items()}
-
-
-def _extensions() -> list[str]:
-    import pkgutil
-
-    import vintaloom
-
-    return [f"vintaloom.{m.name}" for m in pkgutil.iter_modules(vintaloom.__path__) if m.ispkg and m.name not in ("operators", "sources", "functions", "plans", "streaming")]
+    return {name: f for m in (problems, panels, models, streams) for name, f in m.QUERIES.items()}
 
 
 def main(argv: list[str] | None = None) -> int:
