@@ -54,14 +54,14 @@ def dearest(capacity: int, lengths: np.ndarray, prices: np.ndarray) -> tuple[flo
     return float(best[capacity]), config
 
 
-def plan_containers(histogram: dict[int, int], capacity: int, rounds: int | None = None, eta: float = 4.0) -> Plan:
+def plan_containers(histogram: dict[int, int], capacity: int, rounds: int | None = None, eta: float = 8.0) -> Plan:
     """Fill containers with all items of a histogram {length: count}; lengths lie in 1..capacity."""
     items = {int(k): int(v) for k, v in histogram.items() if v > 0}
     if not items:
         return Plan([], 0, 0)
     if min(items) < 1 or max(items) > capacity:
         raise ValueError("lengths must lie between 1 and the capacity")
-    rounds = max(60, 1_000_000 // capacity) if rounds is None else rounds
+    rounds = max(60, 400_000 // capacity) if rounds is None else rounds
     lengths = np.array(sorted(items))
     n = np.array([items[k] for k in lengths], dtype=float)
     covered = np.zeros(len(n))
