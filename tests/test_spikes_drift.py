@@ -62,7 +62,7 @@ def test_changes_and_values(spark):
     t = {(r["vintage_month"], r["series"], r["base_month"]): (r["value"], r["tcode"], r["macro_group"], r["rescued"]) for r in drift.ingest(df.filter("feed_id = 'f'")).collect()}
     assert t["2020-02", "Z", "2020-04"] == (10.0, 3, 7, None) and t["2020-02", "x2", "2020-02"] == (2.5, 1, 4, None) and t["2020-01", "Z", "2020-02"] == (None, 3, 6, None)
     kept = drift.replay(drift.enforce(df.filter("feed_id = 'f'")), approved=["x2"]).filter("rescued is not null").collect()
-    assert {r["series"] for r in kept} == {"Z"} and '"cell":"8 mn"' in kept[0]["rescued"]
+    assert {r["series"] for r in kept} == {"Z"} and any('"cell":"8 mn"' in r["rescued"] for r in kept)  # rows come in any order
 
 
 def test_order_quoting_and_nulls_are_no_change(spark):
