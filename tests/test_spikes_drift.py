@@ -70,3 +70,14 @@ def test_order_quoting_and_nulls_are_no_change(spark):
     df = lines(spark, [("f", "2020-01", A), ("f", "2020-02", swapped)])
     assert drift.schema_changes(df.union(spark.createDataFrame([(None, None, None, None, None, None)], df.schema))).collect() == []
     assert drift.schema_changes(df.limit(0)).collect() == [] and drift.ingest(df.limit(0)).collect() == []
+
+
+def test_changes_read_the_replayed_figures(spark, monkeypatch):
+    old = ["date,X,Y", "1/1/2020,5.e3,1", "2/1/2020,6.e3,2", "3/1/2020,7.e3,3"]
+    new = ["date,X2,Y", "1/1/2020,5000,1 mn", "2/1/2020,6000,2 mn", "3/1/2020,7000,3 mn"]
+    steps = []
+    replay = drift.replay
+    monkeypatch.setattr(drift, "replay", lambda table, *a: steps.append(table) or replay(table, *a))
+    got = {(r["field"], r["change_kind"], r["former_field"]) for r in drift.schema_changes(lines(spark, [("f", "2020-01", old), ("f", "2020-02", new)])).collect()}
+    assert got == {("X2", "renamed", "X"), ("Y", "retyped", "")}
+    assert steps[0].filter("rescued is not null").count() == 3

@@ -4,7 +4,7 @@
 2. enforce casts cells to the target schema (series DOUBLE, codes INT, base month); what is unknown or can't
    be cast is kept as JSON in column rescued.
 3. replay gives rescued cells of approved fields their typed value by the notation they are written in.
-4. schema_changes compares each file with the one before it in its feed.
+4. schema_changes compares each file with the one before it in its feed, by the typed, rescued and replayed cells.
 """
 
 from __future__ import annotations
@@ -106,22 +106,33 @@ def base_month(key: Column) -> Column:
     return F.when(us != "", F.concat_ws("-", us, m_us)).when(iso != "", F.concat_ws("-", iso, m_iso))
 
 
+def cast_cells(cells: DataFrame) -> DataFrame:
+    """Cells of read_cells under the target schema, one row each: kind, is_date, cell, base_month, series, value, rescued, code.
+
+    value is a figure cast to DOUBLE; rescued is {"series": ..., "cell": ..., "date": ...} where a figure is there but can't be
+    cast, or the date can't be read. Cells of code lines carry their number in code; date cells carry neither.
+    """
+    code = (F.col("kind") != "data") & ~F.col("is_date")
+    figure = (F.col("kind") == "data") & ~F.coalesce(F.col("is_date"), F.lit(False))
+    strict = F.when(figure & F.col("cell").rlike(PLAIN), F.col("cell").try_cast("double"))
+    month = base_month(F.col("key"))
+    lost = figure & has_figure(F.col("cell")) & (strict.isNull() | month.isNull())
+    return cells.select(
+        *FILE, "kind", "is_date", "cell", month.alias("base_month"), F.col("field").alias("series"), strict.alias("value"),
+        F.when(lost, F.to_json(F.struct(F.col("field").alias("series"), F.col("cell"), F.col("key").alias("date")))).alias("rescued"), F.when(code, number(F.col("cell"))).alias("code"),
+    )
+
+
 def enforce(lines: DataFrame) -> DataFrame:
-    """One row per file, series and base month under the target schema; cells that don't fit are kept as JSON.
+    """One row per file, series and base month under the target schema; cells that don't fit are kept as JSON (see cast_cells).
 
-    Columns: feed_id, vintage_month, base_month, series, tcode, macro_group, value, rescued. value is the cell
-    cast to DOUBLE; rescued is {"series": ..., "cell": ...} where a figure is there but can't be cast, or the date can't be read.
+    Columns: feed_id, vintage_month, base_month, series, tcode, macro_group, value, rescued.
     """
-    cells = read_cells(lines)
-    codes = cells.filter("kind <> 'data' and not is_date").groupBy(*FILE, "field").agg(
-        F.max(F.when(F.col("kind") == "tcode", number(F.col("cell")))).cast("int").alias("tcode"), F.max(F.when(F.col("kind") == "group", number(F.col("cell")))).cast("int").alias("macro_group")
-    )
+    cells = cast_cells(read_cells(lines))
+    code = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("code"))).cast("int")
+    codes = cells.filter("kind <> 'data' and not is_date").groupBy(*FILE, "series").agg(code("tcode").alias("tcode"), code("group").alias("macro_group"))
     data = cells.filter("kind = 'data' and not coalesce(is_date, false)")
-    strict = F.when(F.col("cell").rlike(PLAIN), F.col("cell").try_cast("double"))
-    month = base_month(F.col("key"))
-    lost = has_figure(F.col("cell")) & (strict.isNull() | month.isNull())
-    data = data.select(*FILE, "line_no", month.alias("base_month"), "field", strict.alias("value"), F.when(lost, F.to_json(F.struct(F.col("field").alias("series"), F.col("cell"), F.col("key").alias("date")))).alias("rescued"))
-    return data.join(codes, [*FILE, "field"], "left").select(*FILE, "base_month", F.col("field").alias("series"), "tcode", "macro_group", "value", "rescued")
+    return data.join(codes, [*FILE, "series"], "left").select(*FILE, "base_month", "series", "tcode", "macro_group", "value", "rescued")
 
 
 def replay(table: DataFrame, approved: Sequence[str] | None = None) -> DataFrame:
@@ -149,15 +160,15 @@ def schema_changes(lines: DataFrame, least_match: float = 0.7) -> DataFrame:
     without a figure or code in either file have no 'retyped', 'tcode' or 'group'. Files are ordered by
     vintage_month whatever their arrival; a feed has at most one file a month, which bounds its window.
     """
-    cells = cut(read_cells(lines))  # parsed once; seven branches below read it
-    how = notation(F.col("cell"))
     date_how = F.regexp_replace(F.regexp_replace("cell", r"\d+", "9"), r"[^9]", "/")
-    date_how = F.when(F.col("is_date"), F.concat(F.lit("@"), F.when(F.col("cell").rlike(r"^\d{4}"), "y").otherwise("m"), date_how)).otherwise(how)
-    big = (how == "plain") & (F.abs(F.col("cell").try_cast("double")) >= 1000)
+    date_how = F.when(F.col("is_date"), F.concat(F.lit("@"), F.when(F.col("cell").rlike(r"^\d{4}"), "y").otherwise("m"), date_how)).otherwise(F.col("notation"))
+    big = (F.col("notation") == "plain") & (F.abs("value") >= 1000)
     data = F.col("kind") == "data"
-    counted = cells.groupBy(*FILE, "field", F.when(data, date_how).alias("how")).agg(
-        F.sum(F.when(data, 1).otherwise(0)).alias("n"), F.max(F.when(data, F.col("is_date"))).alias("is_date"), F.max(data & big).alias("big"),
-        F.max(F.when(F.col("kind") == "tcode", number(F.col("cell")))).alias("tcode"), F.max(F.when(F.col("kind") == "group", number(F.col("cell")))).alias("grp"),
+    # parsed, cast, rescued and replayed once; seven branches below read it
+    cells = cut(replay(cast_cells(read_cells(lines))).select(*FILE, "kind", F.col("series").alias("field"), "is_date", "base_month", "value", "code", F.when(data, date_how).alias("how"), big.alias("big")))
+    counted = cells.groupBy(*FILE, "field", "how").agg(
+        F.sum(F.when(data, 1).otherwise(0)).alias("n"), F.max(F.when(data, F.col("is_date"))).alias("is_date"), F.max("big").alias("big"),
+        F.max(F.when(F.col("kind") == "tcode", F.col("code"))).alias("tcode"), F.max(F.when(F.col("kind") == "group", F.col("code"))).alias("grp"),
     )
     known = F.col("how").isNotNull()
     fields = counted.groupBy(*FILE, "field").agg(
@@ -175,9 +186,7 @@ def schema_changes(lines: DataFrame, least_match: float = 0.7) -> DataFrame:
     gone, fresh = both.filter("n is null"), both.filter("o is null")
 
     dates = gone.filter("o.is_date").select("feed_id", "at", F.col("field").alias("former"), "o").join(fresh.filter("n.is_date").select("feed_id", "at", "field", "n"), ["feed_id", "at"])
-    figures = cells.filter(data & ~F.coalesce(F.col("is_date"), F.lit(False)) & has_figure(F.col("cell"))).select(
-        *FILE, "field", base_month(F.col("key")).alias("bm"), F.round(number(F.col("cell")), 9).alias("x")
-    ).filter("bm is not null and x is not null").distinct()
+    figures = cells.filter("base_month is not null and value is not null").select(*FILE, "field", F.col("base_month").alias("bm"), F.round("value", 9).alias("x")).distinct()
     f_new = fresh.select("feed_id", F.col("at").alias("vintage_month"), "field").join(figures, [*FILE, "field"]).select("feed_id", F.col("vintage_month").alias("at"), "field", "bm", "x")
     f_old = gone.select("feed_id", "at", F.col("field").alias("former")).join(step, ["feed_id", "at"]).select("feed_id", "at", F.col("old_month").alias("vintage_month"), "former").join(
         figures.withColumnRenamed("field", "former"), [*FILE, "former"]).select("feed_id", "at", "former", "bm", "x")
