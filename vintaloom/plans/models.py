@@ -264,9 +264,17 @@ def window_partitions(s, d):
     return N.window_partition(pca_windows(s, d), "decision_month")
 
 
+def _conditions(s, d):
+    """(month, x): every series of the macro panel in every month, gaps filled, each series to its own scale; a constant series gives 0."""
+    m = V.macro_panel(s, d).select("month", "series", "value")
+    grid = m.select("month").distinct().crossJoin(m.select("series").distinct())
+    filled = X.impute_bounded(grid.join(m, ["month", "series"], "left"), ["series"], "month", "value")
+    z = X.standardize(filled, ["series"], "imputed").withColumn("z", F.coalesce("z", F.lit(0.0)))
+    return z.groupBy("month").agg(F.array_sort(F.collect_list(F.struct("series", "z"))).getField("z").alias("x"))
+
+
 def window_forecasts(s, d):
-    z = X.standardize(V.macro_panel(s, d).filter("series < 8"), ["series"], "value")
-    x = z.groupBy("month").agg(F.array_sort(F.collect_list(F.struct("series", "z"))).getField("z").alias("x")).filter(F.size("x") == 8)
+    x = _conditions(s, d)
     rows = _windows(s, d).join(V.asset_returns(s, d), "month").join(window_partitions(s, d), ["decision_month", "month"])
     rows = rows.join(x.select(add_month(F.col("month"), 2).alias("month"), "x"), "month")
     query = x.select(add_month(F.col("month"), 2).alias("decision_month"), F.col("x").alias("query"))
