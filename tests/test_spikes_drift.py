@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import numpy as np
 
@@ -81,3 +82,10 @@ def test_changes_read_the_replayed_figures(spark, monkeypatch):
     got = {(r["field"], r["change_kind"], r["former_field"]) for r in drift.schema_changes(lines(spark, [("f", "2020-01", old), ("f", "2020-02", new)])).collect()}
     assert got == {("X2", "renamed", "X"), ("Y", "retyped", "")}
     assert steps[0].filter("rescued is not null").count() == 3
+
+
+def test_cells_without_a_name_are_rescued(spark):
+    body = ["date,X,,X", "1/1/2020,1,2,3,4", "2/1/2020,5,,,"]
+    t = drift.ingest(lines(spark, [("f", "2020-01", body)])).collect()
+    assert {(r["series"], r["base_month"], r["value"]) for r in t} == {("X", "2020-01", 1.0), ("X", "2020-02", 5.0), ("#3", "2020-01", None), ("#4", "2020-01", None), ("#5", "2020-01", None)}
+    assert {r["series"]: json.loads(r["rescued"])["cell"] for r in t if r["rescued"]} == {"#3": "2", "#4": "3", "#5": "4"}

@@ -43,12 +43,12 @@ def split_cells(line: pd.Series, sep: pd.Series) -> pd.Series:
 
 
 def read_cells(lines: DataFrame) -> DataFrame:
-    """Named cells: feed_id, vintage_month, kind ('tcode', 'group' or 'data'), line_no, pos, field, is_date, cell, key.
+    """Named cells: feed_id, vintage_month, kind ('tcode', 'group' or 'data'), line_no, pos, field, named, is_date, cell, key.
 
     A line delivered more than once counts in its latest form (received_at); blank lines and lines of
     separators only are skipped; the header is the first line left. `key` is the text of the date cell.
-    A file without a header, and cells beyond the header's width, give nothing; of fields with the same name in one
-    file the first counts. Lines are parsed one by one and meet their file's header by a join, so a long
+    A file without a header gives nothing. Cells beyond the header's width, under an empty name or under a name that
+    an earlier column has are not named: their field is # and the column's number, and empty ones are left out. Lines are parsed one by one and meet their file's header by a join, so a long
     file isn't gathered in one place.
     """
     split = F.pandas_udf(split_cells, "array<string>")
@@ -70,8 +70,9 @@ def read_cells(lines: DataFrame) -> DataFrame:
     body = body.withColumn("key_pos", F.array_position(F.transform("cells", lambda c: is_key(c)), True).cast("int") - 1)
     zipped = F.transform("cells", lambda c, i: F.struct(i.alias("pos"), F.get("fields", i).alias("field"), c.alias("cell")))
     cells = body.withColumn("key", F.get("cells", F.greatest("key_pos", F.lit(0)))).select(*FILE, "kind", "line_no", "key_pos", "key", "fields", F.inline(zipped))
-    named = F.col("field").isNotNull() & (F.col("field") != "") & (F.array_position("fields", F.col("field")) == F.col("pos") + 1)
-    return cells.filter(named).select(*FILE, "kind", "line_no", "pos", "field", (F.col("pos") == F.col("key_pos")).alias("is_date"), "cell", "key")
+    named = F.coalesce((F.col("field") != "") & (F.array_position("fields", F.col("field")) == F.col("pos") + 1), F.lit(False))
+    cells = cells.withColumn("named", named).filter(F.col("named") | has_figure(F.col("cell"))).withColumn("field", F.when(F.col("named"), F.col("field")).otherwise(F.concat(F.lit("#"), F.col("pos") + 1)))
+    return cells.select(*FILE, "kind", "line_no", "pos", "field", "named", (F.col("pos") == F.col("key_pos")).alias("is_date"), "cell", "key")
 
 
 def has_figure(cell: Column) -> Column:
@@ -107,19 +108,19 @@ def base_month(key: Column) -> Column:
 
 
 def cast_cells(cells: DataFrame) -> DataFrame:
-    """Cells of read_cells under the target schema, one row each: kind, is_date, cell, base_month, series, value, rescued, code.
+    """Cells of read_cells under the target schema, one row each: kind, named, is_date, cell, base_month, series, value, rescued, code.
 
     value is a figure cast to DOUBLE; rescued is {"series": ..., "cell": ..., "date": ...} where a figure is there but can't be
-    cast, or the date can't be read. Cells of code lines carry their number in code; date cells carry neither.
+    cast, the date can't be read, or the cell isn't named (then with "column"). Cells of code lines carry their number in code; date cells carry neither.
     """
     code = (F.col("kind") != "data") & ~F.col("is_date")
     figure = (F.col("kind") == "data") & ~F.coalesce(F.col("is_date"), F.lit(False))
-    strict = F.when(figure & F.col("cell").rlike(PLAIN), F.col("cell").try_cast("double"))
+    strict = F.when(figure & F.col("named") & F.col("cell").rlike(PLAIN), F.col("cell").try_cast("double"))
     month = base_month(F.col("key"))
     lost = figure & has_figure(F.col("cell")) & (strict.isNull() | month.isNull())
     return cells.select(
-        *FILE, "kind", "is_date", "cell", month.alias("base_month"), F.col("field").alias("series"), strict.alias("value"),
-        F.when(lost, F.to_json(F.struct(F.col("field").alias("series"), F.col("cell"), F.col("key").alias("date")))).alias("rescued"), F.when(code, number(F.col("cell"))).alias("code"),
+        *FILE, "kind", "named", "is_date", "cell", month.alias("base_month"), F.col("field").alias("series"), strict.alias("value"),
+        F.when(lost, F.to_json(F.struct(F.col("field").alias("series"), F.col("cell"), F.col("key").alias("date"), F.when(~F.col("named"), F.col("pos") + 1).alias("column")))).alias("rescued"), F.when(code, number(F.col("cell"))).alias("code"),
     )
 
 
@@ -130,15 +131,15 @@ def enforce(lines: DataFrame) -> DataFrame:
     """
     cells = cast_cells(read_cells(lines))
     code = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("code"))).cast("int")
-    codes = cells.filter("kind <> 'data' and not is_date").groupBy(*FILE, "series").agg(code("tcode").alias("tcode"), code("group").alias("macro_group"))
+    codes = cells.filter("kind <> 'data' and not is_date").groupBy(*FILE, "series", "named").agg(code("tcode").alias("tcode"), code("group").alias("macro_group"))
     data = cells.filter("kind = 'data' and not coalesce(is_date, false)")
-    return data.join(codes, [*FILE, "series"], "left").select(*FILE, "base_month", "series", "tcode", "macro_group", "value", "rescued")
+    return data.join(codes, [*FILE, "series", "named"], "left").select(*FILE, "base_month", "series", "tcode", "macro_group", "value", "rescued")
 
 
 def replay(table: DataFrame, approved: Sequence[str] | None = None) -> DataFrame:
-    """Typed values for rescued cells of approved series (default: all); adds notation, keeps what still can't be read in rescued."""
+    """Typed values for rescued cells of approved series (default: all that are named in the header); adds notation, keeps what still can't be read in rescued."""
     cell = F.get_json_object("rescued", "$.cell")
-    take = F.col("rescued").isNotNull() & F.col("base_month").isNotNull() & (F.lit(True) if approved is None else F.col("series").isin(*approved))
+    take = F.col("rescued").isNotNull() & F.col("base_month").isNotNull() & (F.get_json_object("rescued", "$.column").isNull() if approved is None else F.col("series").isin(*approved))
     value = F.when(take, F.coalesce(F.col("value"), number(cell))).otherwise(F.col("value"))
     return table.withColumns({
         "notation": F.when(F.col("rescued").isNotNull(), notation(cell)).when(F.col("value").isNotNull(), "plain"),
@@ -165,7 +166,7 @@ def schema_changes(lines: DataFrame, least_match: float = 0.7) -> DataFrame:
     big = (F.col("notation") == "plain") & (F.abs("value") >= 1000)
     data = F.col("kind") == "data"
     # parsed, cast, rescued and replayed once; seven branches below read it
-    cells = cut(replay(cast_cells(read_cells(lines))).select(*FILE, "kind", F.col("series").alias("field"), "is_date", "base_month", "value", "code", F.when(data, date_how).alias("how"), big.alias("big")))
+    cells = cut(replay(cast_cells(read_cells(lines)).filter("named")).select(*FILE, "kind", F.col("series").alias("field"), "is_date", "base_month", "value", "code", F.when(data, date_how).alias("how"), big.alias("big")))
     counted = cells.groupBy(*FILE, "field", "how").agg(
         F.sum(F.when(data, 1).otherwise(0)).alias("n"), F.max(F.when(data, F.col("is_date"))).alias("is_date"), F.max("big").alias("big"),
         F.max(F.when(F.col("kind") == "tcode", F.col("code"))).alias("tcode"), F.max(F.when(F.col("kind") == "group", F.col("code"))).alias("grp"),
