@@ -12,3 +12,11 @@ def test_forecasts_use_every_series_and_month(spark, small):
     x = models._conditions(spark, small)
     assert [tuple(r) for r in x.agg(F.count("*"), F.min(F.size("x")), F.max(F.size("x"))).collect()] == [(months, n, n)]
     assert models.window_forecasts(spark, small).select("decision_month").distinct().count() > 20  # none before: no month has its 8 series
+
+
+def test_returns_cover_every_month(spark, small):
+    ship = views.table(spark, small, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM").alias("m")).agg(F.min("m"), F.max("m")).collect()[0]
+    px = views.asset_prices(spark, small).agg(F.min("month"), F.max("month")).collect()[0]
+    assert tuple(px) == tuple(ship) == ("1995-01", "2001-11")
+    first = models._windows(spark, small).agg(F.min("decision_month"), F.min("month")).collect()[0]
+    assert tuple(first) == ("1999-02", "1995-01")

@@ -34,8 +34,13 @@ def _dist(s, d):
     return R.distances(p, R.centroids(p))
 
 
+def _returns(s, d):
+    """The returns of the months that the SQL states."""
+    return V.asset_returns(s, d, *V.SQL_MONTHS)
+
+
 def _matrix(s, d):
-    return R.transitions(V.regimes(V.asset_returns(s, d)), 6)
+    return R.transitions(V.regimes(_returns(s, d)), 6)
 
 
 def spherical_centroids(s, d):
@@ -115,20 +120,20 @@ def outlier_topk(s, d):
 
 
 def conditional_sharpe(s, d):
-    r = V.asset_returns(s, d)
+    r = _returns(s, d)
     return P.conditional_sharpe(r.join(V.regimes(r), "month"), ["label", "ticker"]).select("label", "ticker", "n", r8("mean"), r8("sd"), F.round("score", 6).alias("score"), "status")
 
 
 def sample_covariance(s, d):
-    return P.covariance(V.asset_returns(s, d)).select("a", "b", F.round("cov", 10).alias("cov"))
+    return P.covariance(_returns(s, d)).select("a", "b", F.round("cov", 10).alias("cov"))
 
 
 def shrunk_covariance(s, d):
-    return P.covariance(V.asset_returns(s, d), 0.1, 1e-8).select("a", "b", F.round("cov", 10).alias("cov"))
+    return P.covariance(_returns(s, d), 0.1, 1e-8).select("a", "b", F.round("cov", 10).alias("cov"))
 
 
 def _scores(s, d):
-    return P.trailing_scores(V.asset_returns(s, d))
+    return P.trailing_scores(_returns(s, d))
 
 
 def allocate_lo(s, d):
@@ -144,15 +149,15 @@ def allocate_los(s, d):
 
 
 def allocate_mixed(s, d):
-    return P.allocate_mixed(_scores(s, d), V.regimes(V.asset_returns(s, d)), 2).select("month", "ticker", r8("weight"))
+    return P.allocate_mixed(_scores(s, d), V.regimes(_returns(s, d)), 2).select("month", "ticker", r8("weight"))
 
 
 def benchmark_weights(s, d):
-    return P.benchmark_weights(V.asset_returns(s, d), "1F").select("strategy", "month", "ticker", r8("weight"))
+    return P.benchmark_weights(_returns(s, d), "1F").select("strategy", "month", "ticker", r8("weight"))
 
 
 def volatility_scaling(s, d):
-    return P.volatility_scale(P.allocate(_scores(s, d), 2, "lo"), V.asset_returns(s, d), 12).select("month", r8("volatility"), r8("gross"), F.round("multiplier", 6).alias("multiplier"))
+    return P.volatility_scale(P.allocate(_scores(s, d), 2, "lo"), _returns(s, d), 12).select("month", r8("volatility"), r8("gross"), F.round("multiplier", 6).alias("multiplier"))
 
 
 def _held(s, d, sizing="lo"):
@@ -162,19 +167,19 @@ def _held(s, d, sizing="lo"):
 
 
 def account_without_costs(s, d):
-    a = P.account_without_costs(_held(s, d), V.asset_returns(s, d), ["strategy"])
+    a = P.account_without_costs(_held(s, d), _returns(s, d), ["strategy"])
     return a.select("strategy", "month", r8("net"), r8("turnover"), r8("gross_exposure"), r8("net_exposure"), r8("wealth"), r8("drawdown"))
 
 
 def account_with_costs(s, d):
-    w = P.benchmark_weights(V.asset_returns(s, d), "1F").filter("strategy = 'ew'")
-    a = P.account(w, V.asset_returns(s, d), ["strategy"], cost_bps=10)
+    w = P.benchmark_weights(_returns(s, d), "1F").filter("strategy = 'ew'")
+    a = P.account(w, _returns(s, d), ["strategy"], cost_bps=10)
     return a.select("strategy", "month", r8("turnover"), r8("gross"), r8("cost"), r8("net"), r8("wealth"), r8("drawdown"))
 
 
 def strategy_backtest(s, d):
     """The whole chain in one plan: prices, returns, trailing scores, top two, ledger, performance."""
-    p = P.performance(P.account_without_costs(_held(s, d), V.asset_returns(s, d), ["strategy"]).drop("wealth", "drawdown"), ["strategy"], "month", "net", "turnover")
+    p = P.performance(P.account_without_costs(_held(s, d), _returns(s, d), ["strategy"]).drop("wealth", "drawdown"), ["strategy"], "month", "net", "turnover")
     return p.select("strategy", "n_months", *[F.round(c, 6).alias(c) for c in ("cagr", "ann_vol", "sharpe", "sortino", "maxdd", "avgdd", "mean_turnover")])
 
 
@@ -195,7 +200,7 @@ def verify_ledger(s, d):
 
 
 def _indexed(s, d):
-    r = V.asset_returns(s, d)
+    r = _returns(s, d)
     return r.select("ticker", (month_index(F.col("month")) - month_index(F.lit(V.FIRST))).cast("long").alias("idx"), F.col("r").alias("x"))
 
 
@@ -214,7 +219,10 @@ def bootstrap_intervals(s, d):
 
 
 def _pairs(s, d):
-    r = V.asset_returns(s, d)
+    return _paired(_returns(s, d))
+
+
+def _paired(r):
     base = r.filter("ticker = '1F'").select("month", F.col("r").alias("b"))
     return r.filter("ticker <> '1F'").select("month", "ticker", F.col("r").alias("a")).join(base, "month")
 
@@ -229,7 +237,7 @@ def holm_adjusted(s, d):
 
 
 def paired_pvalues(s, d):
-    p = S.paired_statistics(_pairs(s, d), ["ticker"])
+    p = S.paired_statistics(_paired(V.asset_returns(s, d)), ["ticker"])
     return p.select("ticker", F.round(S.student_tail(F.col("t"), F.col("n") - 1), 9).alias("p_t"), F.round(S.normal_tail(F.col("z")), 9).alias("p_nemenyi"))
 
 
@@ -251,7 +259,8 @@ def lambda_choice(s, d):
 def _windows(s, d, train=48):
     r = V.asset_returns(s, d)
     m = r.select("month").distinct()
-    at = m.filter(month_index(F.col("month")) >= month_index(F.lit(V.FIRST)) + train + 2)
+    first = m.agg(F.min("month").alias("first"))
+    at = m.crossJoin(F.broadcast(first)).filter(month_index(F.col("month")) >= month_index(F.col("first")) + train + 1).drop("first")
     return training_windows(at.withColumnRenamed("month", "decision_month"), "decision_month", train).select("decision_month", F.col("target_month").alias("month"))
 
 

@@ -57,7 +57,7 @@ def key_violations(s, d):
 
 
 def checked_join(s, d):
-    px = V.asset_prices(s, d)
+    px = V.asset_prices(s, d, *V.SQL_MONTHS)
     rank = px.select("month", "ticker", F.rank().over(W.partitionBy("month").orderBy(F.round("px", 6).desc())).alias("place"))
     return C.checked_join(px.select("month", "ticker", r8("px")), rank, ["month", "ticker"])
 

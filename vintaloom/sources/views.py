@@ -7,21 +7,26 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions.months import month_index
 from .tables import table
 
-FIRST, LAST = "1995-02", "2001-07"
+# The months that the SQL of the queries on asset_prices and asset_returns states; queries without SQL take all months.
+SQL_MONTHS = FIRST, LAST = "1995-02", "2001-07"
 
 
-def asset_prices(spark: SparkSession, d: str) -> DataFrame:
-    """(month, ticker, px): ten assets by order priority and line status, px the mean price of a unit."""
+def asset_prices(spark: SparkSession, d: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """(month, ticker, px): ten assets by order priority and line status, px the mean price of a unit; all months unless first or last is given."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linestatus", "l_extendedprice", "l_quantity", F.date_format("l_shipdate", "yyyy-MM").alias("month"))
     o = table(spark, d, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("p"))
-    j = li.filter(F.col("month").between(FIRST, LAST)).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    if first:
+        li = li.filter(F.col("month") >= first)
+    if last:
+        li = li.filter(F.col("month") <= last)
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     return j.groupBy("month", F.concat("p", "l_linestatus").alias("ticker")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("px"))
 
 
-def asset_returns(spark: SparkSession, d: str) -> DataFrame:
+def asset_returns(spark: SparkSession, d: str, first: str | None = None, last: str | None = None) -> DataFrame:
     """(month, ticker, r): next month's price over this month's, less one; the last month has none."""
     nxt = F.lead("px").over(W.partitionBy("ticker").orderBy("month"))
-    return asset_prices(spark, d).withColumn("r", nxt / F.col("px") - 1).filter("r is not null").select("month", "ticker", "r")
+    return asset_prices(spark, d, first, last).withColumn("r", nxt / F.col("px") - 1).filter("r is not null").select("month", "ticker", "r")
 
 
 def macro_panel(spark: SparkSession, d: str) -> DataFrame:
