@@ -236,3 +236,16 @@ def test_queries_run(spark, small, queries, name):
     assert queries.QUERIES[name](spark, small).count() > 0
 
 
+
+
+def test_packing_covers_every_length():
+    hist = {2050 + 7 * i: 3 + i % 4 for i in range(280)}  # between a quarter and half of a container
+    plan = packing.plan_containers(hist, 8192)
+    used = {}
+    for config, copies in plan.configurations:
+        assert sum(k * a for k, a in config.items()) <= 8192
+        for k, a in config.items():
+            used[k] = used.get(k, 0) + a * copies
+    assert used == hist and plan.program + plan.rest == sum(hist.values())
+    few = packing.plan_containers(hist, 8192, rounds=60)  # as many as were run before
+    assert plan.program > few.program and plan.containers <= few.containers

@@ -2,9 +2,9 @@
 
 The configuration linear program over the length histogram is solved by multiplicative weights: a length's
 price rises with the share of it not yet covered, and knapsack dynamic programming finds the dearest
-configuration at these prices. The fractional solution is rounded down and what is left is filled
-largest-first. The plan is a list of (configuration, copies), bounded by the capacity and the number of
-rounds whatever the number of texts; texts then take their places in parallel by their rank in their length.
+configuration at these prices, until every length is covered or the containers are within GAP of the lower
+bound. The fractional solution is rounded down and what is left is filled largest-first. The plan is a list of
+(configuration, copies), bounded by the number of lengths whatever the number of texts; texts then take their places in parallel by their rank in their length.
 """
 
 from __future__ import annotations
@@ -20,13 +20,20 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..session import cut
 
 
+# The share by which containers may exceed the lower bound, and the rounds between two looks at it.
+GAP, LOOK = 0.001, 60
+
+
 @dataclass(frozen=True)
 class Plan:
-    """configurations: (lengths with multiplicity, copies); bound: a lower bound on the number of containers."""
+    """configurations: (lengths with multiplicity, copies); bound: a lower bound on the number of containers;
+    program, rest: pieces placed by the configuration program and by the largest-first rest."""
 
     configurations: list[tuple[dict[int, int], int]]
     containers: int
     bound: int
+    program: int = 0
+    rest: int = 0
 
 
 def dearest(capacity: int, lengths: np.ndarray, prices: np.ndarray) -> tuple[float, dict[int, int]]:
@@ -61,26 +68,38 @@ def plan_containers(histogram: dict[int, int], capacity: int, rounds: int | None
         return Plan([], 0, 0)
     if min(items) < 1 or max(items) > capacity:
         raise ValueError("lengths must lie between 1 and the capacity")
-    rounds = max(60, 400_000 // capacity) if rounds is None else rounds
     lengths = np.array(sorted(items))
     n = np.array([items[k] for k in lengths], dtype=float)
     covered = np.zeros(len(n))
     shares: dict[tuple, float] = {}
     bound = float((lengths * n).sum()) / capacity
-    for _ in range(rounds):
-        open_ = covered < n
-        if not open_.any():
+    done = 0
+    while rounds is None or done < rounds:
+        (alive,) = np.nonzero(covered < n)
+        if not len(alive):
             break
-        prices = np.where(open_, lengths * np.exp(eta * (1 - covered / n)), 0.0)
-        value, config = dearest(capacity, lengths, prices)
-        bound = max(bound, float(prices @ n) / value)
+        if rounds is None and done and done % LOOK == 0:
+            plan = _finish(shares, n, lengths, capacity, bound)
+            if plan.containers <= math.ceil(bound - 1e-9) * (1 + GAP):
+                return plan
+        done += 1
+        # covered lengths have no price and stay out of the knapsack
+        prices = lengths[alive] * np.exp(eta * (1 - covered[alive] / n[alive]))
+        value, config = dearest(capacity, lengths[alive], prices)
+        bound = max(bound, float(prices @ n[alive]) / value)
+        config = {int(alive[k]): c for k, c in config.items()}
         j = np.fromiter(config, dtype=np.int64)
-        a = np.array([config[k] for k in j], dtype=float)
+        a = np.array([config[k] for k in config], dtype=float)
         step = float(((n[j] - covered[j]) / a).min())
         key = tuple(sorted(config.items()))
         shares[key] = shares.get(key, 0.0) + step
         covered[j] += a * step
         covered[n - covered < 1e-9] = n[n - covered < 1e-9]
+    return _finish(shares, n, lengths, capacity, bound)
+
+
+def _finish(shares: dict[tuple, float], n: np.ndarray, lengths: np.ndarray, capacity: int, bound: float) -> Plan:
+    """The fractional solution rounded down, and the rest largest-first."""
     left = n.astype(np.int64).copy()
     plan = []
     for key, x in sorted(shares.items(), key=lambda s: (-s[1], s[0])):
@@ -89,6 +108,7 @@ def plan_containers(histogram: dict[int, int], capacity: int, rounds: int | None
             plan.append(({int(lengths[j]): a for j, a in key}, copies))
             for j, a in key:
                 left[j] -= a * copies
+    rest = int(left.sum())
     alive = [j for j in range(len(left)) if left[j] > 0]
     sizes = [int(lengths[j]) for j in alive]
     while alive:
@@ -109,7 +129,7 @@ def plan_containers(histogram: dict[int, int], capacity: int, rounds: int | None
             left[j] -= a * copies
         keep = [i for i, j in enumerate(alive) if left[j] > 0]
         alive, sizes = [alive[i] for i in keep], [sizes[i] for i in keep]
-    return Plan(plan, sum(c for _, c in plan), math.ceil(bound - 1e-9))
+    return Plan(plan, sum(c for _, c in plan), math.ceil(bound - 1e-9), int(n.sum()) - rest, rest)
 
 
 def pack(items: DataFrame, targets: DataFrame, *, id_col: str, size_col: str, rounds: int | None = None, salts: int = 64) -> DataFrame:
@@ -164,9 +184,9 @@ def pack(items: DataFrame, targets: DataFrame, *, id_col: str, size_col: str, ro
 
 
 def packing_report(placed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per kind: containers, pieces, tokens, the share of space filled and the lower bound of the linear program."""
+    """Per kind: containers, pieces, tokens, the share of space filled, the lower bound of the linear program and the pieces it and the rest placed."""
     plans = getattr(placed, "plans", {})
-    bounds = placed.sparkSession.createDataFrame([(k, int(p.bound)) for k, p in sorted(plans.items())], "container_kind string, least_containers long")
+    bounds = placed.sparkSession.createDataFrame([(k, int(p.bound), p.program, p.rest) for k, p in sorted(plans.items())], "container_kind string, least_containers long, program_pieces long, rest_pieces long")
     per = placed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
     total = per.groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("n").alias("pieces"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
     caps = targets.select("container_kind", "capacity_tokens").distinct()
