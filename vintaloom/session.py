@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -20,19 +23,49 @@ def get_session(app: str = "vintaloom", master: str | None = None, shuffle_parti
     return b.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder (spark.checkpoint.dir); a folder of our own only where none is set, as in tests."""
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder below the cluster's shared one (spark.checkpoint.dir), removed when Python ends.
+
+    Where none is set, a local master gets a temporary folder; on a cluster that is an error, since every
+    executor would write to its own disk.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
+    known = getattr(sc, "_vintaloom_folder", None)
+    if known:
+        return known
+    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.gettempdir()
+    sc._vintaloom_folder = f"{base.rstrip('/')}/vintaloom-{sc.applicationId}-{os.getpid()}"
+    atexit.register(release, spark)
+    return sc._vintaloom_folder
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all that cut() has written; frames that still read it can't be used any more."""
+    sc = spark.sparkContext
+    folder = getattr(sc, "_vintaloom_folder", None)
+    if not folder or sc._jsc is None:
         return
-    shared = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), f"vintaloom-checkpoints-{os.getpid()}"))
+    try:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        pass
+    sc._vintaloom_folder = None
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to reliable checkpoint storage and drop its lineage; survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df as a table written to the shared folder: its lineage ends there, and it survives the loss of executors.
+
+    Columnar, so each reader takes only the columns it needs (a checkpoint would deserialise whole rows).
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
@@ -41,7 +74,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_vintaloom_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="vintaloom-")) / "vintaloom.zip"
+    folder = tempfile.mkdtemp(prefix="vintaloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors may fetch it at any time until then
+    target = Path(folder) / "vintaloom.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
