@@ -106,23 +106,32 @@ def test_plan_places_everything_and_is_near_the_bound():
     assert packing.plan_containers({60: 30, 40: 30}, 100).containers == 30
 
 
-def test_pack(spark):
+def test_pack(spark, tmp_path):
     rnd = random.Random(6)
     sizes = {i: rnd.choice([100, 100, rnd.randrange(1, 900), 0]) for i in range(400)} | {1000: 5000}
     rows = [(i, n, "c") for i, n in sizes.items()] + [(3, sizes[3], "c"), (None, 5, "c"), (2000, None, "c")]
     df = spark.createDataFrame(rows, "id long, n long, container_id string")
     targets = spark.createDataFrame([("s", 256), ("l", 2048), (None, 5)], "container_kind string, capacity_tokens int")
-    placed = packing.pack(df, targets, id_col="id", size_col="n", rounds=50, salts=3)
-    got = placed.toPandas()
+    packed = packing.pack(df, targets, id_col="id", size_col="n", rounds=50, salts=3)
+    got = packed.placed.toPandas()
     for kind, cap in (("s", 256), ("l", 2048)):
         p = got[got.container_kind == kind]
         assert p.groupby("container_id").n_tokens.sum().max() <= cap and not p.duplicated(["id", "piece_no"]).any()
         assert dict(p.groupby("id").n_tokens.sum()) == {i: n for i, n in sizes.items() if n}
         assert (p.groupby("id").size() == p.id.drop_duplicates().map(lambda i: -(-sizes[i] // cap)).set_axis(p.id.drop_duplicates()).sort_index()).all()
         assert sorted(p[p.id == 1000].start_token) == list(range(0, 5000, cap))
-    report = {r["container_kind"]: r for r in packing.packing_report(placed, targets).collect()}
+    report = {r["container_kind"]: r for r in packing.packing_report(packed).collect()}
     assert report["l"]["fill_rate"] > 0.9 and report["s"]["containers"] >= report["s"]["least_containers"]
-    assert packing.pack(df.limit(0), targets, id_col="id", size_col="n").count() == 0
+    packed.placed.write.parquet(str(tmp_path / "placed"))  # the report needs only the two tables
+    packed.plan.write.parquet(str(tmp_path / "plan"))
+    again = packing.Packed(*[spark.read.parquet(str(tmp_path / n)) for n in ("placed", "plan")])
+    assert {r["container_kind"]: r for r in packing.packing_report(again).collect()} == report
+    good = packing.balance(packed, df, id_col="id", size_col="n").collect()
+    assert {tuple(r)[1:] for r in good} == {(len([n for n in sizes.values() if n]), 0, 0, 0, 0)}
+    lost = packing.Packed(packed.placed.filter("container_id > 0"), packed.plan)
+    assert all(r["items"] < good[0]["items"] or r["tokens_missing"] > 0 for r in packing.balance(lost, df, id_col="id", size_col="n").collect())
+    assert packing.pack(df.limit(0), targets, id_col="id", size_col="n").placed.count() == 0
+    assert packing.packing_report(packing.pack(df, targets.limit(0), id_col="id", size_col="n")).count() == 0
 
 
 # mixing
@@ -238,6 +247,14 @@ def test_queries_run(spark, small, queries, name):
 
 
 
+def test_program_is_never_worse_than_largest_first():
+    rnd = random.Random(9)
+    for cap in (64, 512, 2048):
+        hist = {rnd.randrange(1, cap): rnd.randrange(1, 80) for _ in range(200)}
+        n, lengths = np.array([float(hist[k]) for k in sorted(hist)]), np.array(sorted(hist))
+        assert packing.plan_containers(hist, cap).containers <= packing._finish({}, n, lengths, cap, 0.0, False).containers
+
+
 def test_packing_covers_every_length():
     hist = {2050 + 7 * i: 3 + i % 4 for i in range(280)}  # between a quarter and half of a container
     plan = packing.plan_containers(hist, 8192)

@@ -30,13 +30,23 @@ def _measured(spark: SparkSession, d: str) -> DataFrame:
     return cut(docs.select("doc_id", "source", tokens.token_count(F.col("text")).alias("n_tokens")))
 
 
+def _packed(measured: DataFrame, d: str) -> packing.Packed:
+    return packing.pack(measured, table(measured.sparkSession, d, "pack_targets"), id_col="doc_id", size_col="n_tokens")
+
+
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(_measured(spark, d), table(spark, d, "pack_targets"), id_col="doc_id", size_col="n_tokens").withColumnRenamed("id", "doc_id")
+    return _packed(_measured(spark, d), d).placed.withColumnRenamed("id", "doc_id")
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    targets = table(spark, d, "pack_targets")
-    return packing.packing_report(packing.pack(_measured(spark, d), targets, id_col="doc_id", size_col="n_tokens"), targets)
+    return packing.packing_report(_packed(_measured(spark, d), d))
+
+
+def p8_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Every text once in every kind, whole unless it is longer than the container, and no container over its capacity."""
+    measured = _measured(spark, d)
+    packed = _packed(measured, d)
+    return packing.balance(packing.Packed(cut(packed.placed), packed.plan), measured, id_col="doc_id", size_col="n_tokens")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -65,12 +75,16 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p5_found, p5_clusters, p8_pack, p8_report, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
+    f.__name__: f for f in (p2_found, p5_found, p5_clusters, p8_pack, p8_report, p8_balance, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
 }
 
 SQL: dict[str, str] = {
     "p2_found": """
 select run_id, decision_month, model, ticker, rank_no::int as rank_no from (
   select *, row_number() over (partition by run_id, decision_month, model order by value desc, ticker) as rank_no
-  from (select distinct run_id, decision_month, model, ticker, value from forecasts where value is not null and not isnan(value) and not isinf(value))) where rank_no <= 3"""
+  from (select distinct run_id, decision_month, model, ticker, value from forecasts where value is not null and not isnan(value) and not isinf(value))) where rank_no <= 3""",
+    "p8_balance": """
+with n as (select count(distinct doc_id) as items from documents where doc_id is not null and text <> '')
+select container_kind, items, 0::bigint as tokens_missing, 0::bigint as broken_items, 0::bigint as divided_needlessly, 0::bigint as overfull
+from (select distinct container_kind from pack_targets where container_kind is not null and capacity_tokens > 0), n where items > 0""",
 }
