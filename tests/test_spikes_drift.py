@@ -89,3 +89,31 @@ def test_cells_without_a_name_are_rescued(spark):
     t = drift.ingest(lines(spark, [("f", "2020-01", body)])).collect()
     assert {(r["series"], r["base_month"], r["value"]) for r in t} == {("X", "2020-01", 1.0), ("X", "2020-02", 5.0), ("#3", "2020-01", None), ("#4", "2020-01", None), ("#5", "2020-01", None)}
     assert {r["series"]: json.loads(r["rescued"])["cell"] for r in t if r["rescued"]} == {"#3": "2", "#4": "3", "#5": "4"}
+
+
+def test_one_series_has_one_name_in_the_table(spark):
+    c = ['date,W2,x2,Z', "Transform:,9,1,3", "3/1/2020,6,3.5,9", "4/1/2020,7,4.5,10", "5/1/2020,8,5.5,11 mn", "6/1/2020,9 mn,6.5,12"]
+    df = lines(spark, [("f", "2020-01", A), ("f", "2020-02", B), ("f", "2020-03", c)])
+    rows = drift.ingest(df).collect()
+    assert {(r["field"], r["series"]) for r in rows} == {("X", "x2"), ("x2", "x2"), ("Y", "Y"), ("Z", "Z"), ("W", "W2"), ("W2", "W2")}
+    # W has no code from 1 to 7 in any file: what can't be cast stays in rescued
+    left = {(r["series"], r["base_month"], json.loads(r["rescued"])["cell"]) for r in rows if r["rescued"]}
+    assert left == {("W2", "2020-06", "9 mn")}
+    assert {(r["series"], r["value"]) for r in rows if r["base_month"] == "2020-05"} == {("W2", 8.0), ("x2", 5.5), ("Z", 11.0)}
+
+
+def test_file_without_header_is_rescued(spark):
+    body = ["1/1/2020,1,2 mn", "2/1/2020,3,"]
+    t = drift.ingest(lines(spark, [("f", "2020-01", body)])).collect()
+    assert {(r["series"], r["base_month"], r["value"], json.loads(r["rescued"])["cell"]) for r in t} == {("#2", "2020-01", None, "1"), ("#3", "2020-01", None, "2 mn"), ("#2", "2020-02", None, "3")}
+    got = drift.cell_balance(lines(spark, [("f", "2020-01", body), ("g", "2020-01", A)])).collect()
+    assert {(r["feed_id"], r["figures"], r["typed"], r["rescued"]) for r in got} == {("f", 3, 0, 3), ("g", 8, 8, 0)}
+
+
+def test_quoted_cells(spark):
+    rows = [('a,"b,c",d', ["a", "b,c", "d"]), (',"x ""y""", z', ["", 'x ""y', "z"]), ('"open,1', ["open", "1"]), ("a,,", ["a", "", ""]), ("\t\t\"1,5\"", ["\t\t\"1", "5"])]
+    df = spark.createDataFrame([(r[0],) for r in rows], "line string")
+    got = [list(r[0]) for r in df.select(drift.split_cells(df["line"], drift.F.lit(","))).collect()]
+    assert got[0] == rows[0][1] and got[2:4] == [r[1] for r in rows[2:4]] and got[1][0] == "" and got[1][2] == "z"
+    tab = spark.createDataFrame([('\t\t"1,5"',)], "line string")
+    assert list(tab.select(drift.split_cells(tab["line"], drift.F.lit("\t"))).first()[0]) == ["", "", "1,5"]

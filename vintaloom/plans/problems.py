@@ -49,12 +49,16 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.ingest(table(spark, d, "macro_raw_lines"))
 
 
+def p6_balance(spark: SparkSession, d: str) -> DataFrame:
+    return drift.cell_balance(table(spark, d, "macro_raw_lines"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     t = lambda n: table(spark, d, n)
     return asof.account_knowledge(t("monthly_account"), t("lambda_selection"), t("macro_vintage")).select("run_id", "holding_month", "strategy_id", "vintage_month", "selection_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fill_macro, p1_fill_features, p3_found, p3_reasons, p4_found, p4_changes, p6_found, p6_table, p7_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fill_macro, p1_fill_features, p3_found, p3_reasons, p4_found, p4_changes, p6_found, p6_table, p6_balance, p7_found)}
 
 _PLACEHOLDERS = ", ".join(f"{x:.1f}" for x in fill.PLACEHOLDERS)
 _NOTHING = ", ".join(f"'{x}'" for x in fill.NO_ANSWER)
@@ -111,6 +115,18 @@ union all select 'feature_result', window_id, base_month, series, 'imputed', cas
     "p3_found": _P3,
     "p4_found": _P4 + "select vintage_month, base_month, series, change_kind from j where change_kind is not null",
     "p4_changes": _P4 + "select * from j where change_kind is not null",
+    "p6_balance": f"""
+with l as (select feed_id, vintage_month, line_no, arg_max(line, (received_at, line)) as line from macro_raw_lines where line is not null and feed_id is not null and vintage_month is not null group by all),
+b as (select * from l where not regexp_full_match(line, '[\\s,;|"'']*')), h as (select feed_id, vintage_month, min(line_no) as head, arg_min(line, line_no) as hl from b group by all),
+s as (select b.*, hl, list_reverse_sort([{{'n': length(hl) - length(replace(hl, ',', '')), 'i': 0, 's': ','}}, {{'n': length(hl) - length(replace(hl, ';', '')), 'i': -1, 's': ';'}},
+  {{'n': length(hl) - length(replace(hl, chr(9), '')), 'i': -2, 's': chr(9)}}, {{'n': length(hl) - length(replace(hl, '|', '')), 'i': -3, 's': '|'}}])[1].s as sep from b join h using (feed_id, vintage_month) where line_no > head),
+-- a separator inside quotes gives way to a sign that no line holds
+q as (select *, list_aggregate(list_transform(string_split(line, '"'), lambda x, i: case when i % 2 = 0 then replace(x, sep, chr(1)) else x end), 'string_agg', '') as bare from s),
+c as (select feed_id, vintage_month, line_no, trim(replace(unnest(string_split(bare, sep)), chr(1), sep)) as cell, unnest(generate_series(1, len(string_split(bare, sep)))) as i from q),
+k as (select feed_id, vintage_month, line_no, lower(any_value(cell) filter (i = 1)) as key from c group by all),
+d as (select c.* from c join k using (feed_id, vintage_month, line_no) where not starts_with(key, 'transform') and not starts_with(key, 'group') and i > 1 and lower(cell) not in ({', '.join(f"'{x}'" for x in drift.EMPTY_CELLS)}))
+select feed_id, vintage_month, count(*) as figures, count(*) filter (regexp_matches(cell, '{drift.PLAIN}')) as typed, count(*) filter (not regexp_matches(cell, '{drift.PLAIN}')) as rescued,
+  round(sum(case when regexp_matches(cell, '{drift.PLAIN}') then cell::double end), 3) as plain_sum from d group by all""",
     "p7_found": """
 with a as (select distinct run_id, holding_month, strategy_id, signal_series, decision_at from monthly_account),
 r as (select series, vintage_month, min(assumed_available_at) as at from macro_vintage group by all),
