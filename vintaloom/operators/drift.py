@@ -28,18 +28,13 @@ DATE = r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{4}$|^\d{4}[/-]\d{1,2}([/-]\d{1,2})?$|^\d{4}
 FILE = ["feed_id", "vintage_month"]
 
 
-def split_cells(line: Column, sep: Column) -> Column:
-    """Cells of a line: quotes may hold separators, doubled quotes stand for one; outer blanks and quotes go.
-
-    A quote that is never closed counts as an ordinary sign. Lines without quotes are split plainly.
-    """
+def raw_cells(line: Column, sep: Column) -> Column:
+    """Cells of a line as written: quotes may hold separators; a quote that is never closed counts as an ordinary sign."""
 
     def by(s: str) -> Column:
         q = "\\" + s if s != "\t" else s
         quoted = F.regexp_extract_all(F.concat(F.lit(s), line), F.lit(rf'{q}( *"[^"]*(?:""[^"]*)*"[^{q}]*|[^{q}]*)'), F.lit(1))
-        bare = F.transform(quoted, lambda c: F.replace(F.regexp_replace(c, "(?U)^[\\s\"']+|[\\s\"']+$", ""), F.lit('""'), F.lit('"')))
-        plain = F.transform(F.split(line, q), lambda c: F.regexp_replace(c, "(?U)^[\\s']+|[\\s']+$", ""))
-        return F.when(F.contains(line, F.lit('"')), bare).otherwise(plain)
+        return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, q))
 
     out = F.when(sep == SEPARATORS[0], by(SEPARATORS[0]))
     for s in SEPARATORS[1:]:
@@ -47,8 +42,18 @@ def split_cells(line: Column, sep: Column) -> Column:
     return out
 
 
+def clean(cell: Column) -> Column:
+    """A raw cell without outer blanks and quotes; doubled quotes inside stand for one."""
+    bare = F.btrim(cell, F.lit(" \t\r\n\u00a0\"'"))
+    return F.when(F.contains(cell, F.lit('""')), F.replace(bare, F.lit('""'), F.lit('"'))).otherwise(bare)
+
+
+def split_cells(line: Column, sep: Column) -> Column:
+    return F.transform(raw_cells(line, sep), clean)
+
+
 def read_cells(lines: DataFrame) -> DataFrame:
-    """Named cells: feed_id, vintage_month, kind ('tcode', 'group' or 'data'), line_no, pos, field, named, is_date, cell, key.
+    """Named cells: feed_id, vintage_month, kind ('tcode', 'group' or 'data'), line_no, pos, field, named, is_date, cell, key, base_month.
 
     A line delivered more than once counts in its latest form (received_at); blank lines and lines of
     separators only are skipped; the header is the first line left, unless it is itself a line of figures or
@@ -71,15 +76,19 @@ def read_cells(lines: DataFrame) -> DataFrame:
     head = head.withColumns({"head_no": F.when(absent, F.col("head_no") - 1).otherwise(F.col("head_no")), "fields": F.when(absent, F.array().cast("array<string>")).otherwise(F.col("fields"))})
     name = lambda f, i: F.struct(f.alias("field"), ((f != "") & (F.array_position("fields", f) == i + 1)).alias("named"))
     head = head.withColumn("names", F.transform("fields", name)).drop("fields")
-    body = one.join(head, FILE).filter(F.col("line_no") > F.col("head_no")).withColumn("cells", split_cells(F.col("line"), F.col("sep"))).drop("line")
+    body = one.join(head, FILE).filter(F.col("line_no") > F.col("head_no")).withColumn("cells", raw_cells(F.col("line"), F.col("sep"))).drop("line", "sep")
     # the date field is the first whose cell looks like a date; in code lines it holds the line's name
-    body = body.withColumn("key_pos", F.array_position(F.transform("cells", lambda c: c.rlike(f"{DATE}|{TCODE_LINE}|{GROUP_LINE}")), True).cast("int") - 1)
-    body = body.withColumn("key", F.get("cells", F.greatest("key_pos", F.lit(0))))
+    is_key = lambda c: c.rlike(f"{DATE}|{TCODE_LINE}|{GROUP_LINE}")
+    body = body.withColumn("first", clean(F.get("cells", F.lit(0))))
+    elsewhere = F.array_position(F.transform("cells", lambda c: is_key(clean(c))), True).cast("int") - 1
+    body = body.withColumn("key_pos", F.when(is_key(F.col("first")), 0).otherwise(elsewhere))
+    body = body.withColumn("key", F.when(F.col("key_pos") > 0, clean(F.get("cells", F.col("key_pos")))).otherwise(F.col("first")))
+    body = body.withColumn("base_month", base_month(F.col("key")))
     body = body.withColumn("kind", F.when(F.col("key").rlike(TCODE_LINE), "tcode").when(F.col("key").rlike(GROUP_LINE), "group").otherwise("data"))
-    zipped = F.transform("cells", lambda c, i: F.struct(i.alias("pos"), F.get("names", i).alias("name"), c.alias("cell")))
-    cells = body.select(*FILE, "kind", "line_no", "key_pos", "key", F.inline(zipped)).withColumn("named", F.coalesce("name.named", F.lit(False)))
+    cells = body.select(*FILE, "kind", "line_no", "key_pos", "key", "base_month", "names", F.posexplode("cells").alias("pos", "raw"))
+    cells = cells.select(*FILE, "kind", "line_no", "key_pos", "key", "base_month", "pos", clean(F.col("raw")).alias("cell"), F.get("names", F.col("pos")).alias("name")).withColumn("named", F.coalesce("name.named", F.lit(False)))
     cells = cells.filter(F.col("named") | has_figure(F.col("cell"))).withColumn("field", F.when(F.col("named"), F.col("name.field")).otherwise(F.concat(F.lit("#"), F.col("pos") + 1)))
-    return cells.select(*FILE, "kind", "line_no", "pos", "field", "named", (F.col("pos") == F.col("key_pos")).alias("is_date"), "cell", "key")
+    return cells.select(*FILE, "kind", "line_no", "pos", "field", "named", (F.col("pos") == F.col("key_pos")).alias("is_date"), "cell", "key", "base_month")
 
 
 def has_figure(cell: Column) -> Column:
@@ -120,13 +129,12 @@ def cast_cells(cells: DataFrame) -> DataFrame:
     value is a figure cast to DOUBLE; rescued is {"series": ..., "cell": ..., "date": ...} where a figure is there but can't be
     cast, the date can't be read, or the cell isn't named (then with "column"). Cells of code lines carry their number in code; date cells carry neither.
     """
+    figure = (F.col("kind") == "data") & ~F.coalesce(F.col("is_date"), F.lit(False)) & has_figure(F.col("cell"))
     code = (F.col("kind") != "data") & ~F.col("is_date")
-    figure = (F.col("kind") == "data") & ~F.coalesce(F.col("is_date"), F.lit(False))
-    strict = F.when(figure & F.col("named") & F.col("cell").rlike(PLAIN), F.col("cell").try_cast("double"))
-    month = base_month(F.col("key"))
-    lost = figure & has_figure(F.col("cell")) & (strict.isNull() | month.isNull())
+    cells = cells.withColumn("figure", figure).withColumn("value", F.when(F.col("figure") & F.col("named") & F.col("cell").rlike(PLAIN), F.col("cell").try_cast("double")))
+    lost = F.col("figure") & (F.col("value").isNull() | F.col("base_month").isNull())
     return cells.select(
-        *FILE, "kind", "named", "is_date", "cell", month.alias("base_month"), F.col("field").alias("series"), strict.alias("value"),
+        *FILE, "kind", "named", "is_date", "cell", "base_month", F.col("field").alias("series"), "value",
         F.when(lost, F.to_json(F.struct(F.col("field").alias("series"), F.col("cell"), F.col("key").alias("date"), F.when(~F.col("named"), F.col("pos") + 1).alias("column")))).alias("rescued"), F.when(code, number(F.col("cell"))).alias("code"),
     )
 
@@ -148,14 +156,15 @@ def _typed(cells: DataFrame) -> DataFrame:
 
 def replay(table: DataFrame, approved: Sequence[str] | Column | None = None) -> DataFrame:
     """Typed values for rescued cells of approved series (names, a condition, or None: all that are named in the header); adds notation, keeps what still can't be read in rescued."""
-    cell = F.get_json_object("rescued", "$.cell")
     allowed = F.get_json_object("rescued", "$.column").isNull() if approved is None else approved if isinstance(approved, Column) else F.col("series").isin(*approved)
-    take = F.col("rescued").isNotNull() & F.col("base_month").isNotNull() & allowed
-    value = F.when(take, F.coalesce(F.col("value"), number(cell))).otherwise(F.col("value"))
-    return table.withColumns({
-        "notation": F.when(F.col("rescued").isNotNull(), notation(cell)).when(F.col("value").isNotNull(), "plain"),
-        "value": value, "rescued": F.when(~(take & value.isNotNull()), F.col("rescued")),
-    })
+    # step by step, so that no expression is worked out twice and the generated code stays small
+    t = table.withColumn("_cell", F.when(F.col("rescued").isNotNull(), F.get_json_object("rescued", "$.cell"))).withColumn("_how", notation(F.col("_cell")))
+    t = t.withColumn("_number", F.when(F.col("_how").isNotNull() & F.col("base_month").isNotNull() & allowed, number(F.col("_cell"), F.col("_how"))))
+    return t.withColumns({
+        "notation": F.when(F.col("rescued").isNotNull(), F.col("_how")).when(F.col("value").isNotNull(), "plain"),
+        "value": F.coalesce("value", "_number"),
+        "rescued": F.when(F.col("_how").isNull() | F.col("base_month").isNull() | ~F.coalesce(allowed, F.lit(False)) | F.coalesce("value", "_number").isNull(), F.col("rescued")),
+    }).drop("_cell", "_how", "_number")
 
 
 def latest_names(fields: DataFrame, changes: DataFrame) -> DataFrame:
