@@ -27,7 +27,11 @@ def test_cells_by_every_way_of_missing(spark):
     }
     out = {(r["base_month"], r["series"]): r for r in fill.fill_macro(macro(spark, rows)).collect()}
     assert len(out) == len(rows)
-    assert 1 <= out["2019-09", "A"]["filled_value"] <= 8 and out["2019-05", "B"]["filled_value"] is None
+    assert 1 <= out["2019-09", "A"]["filled_value"] <= 8 and out["2019-05", "B"]["filled_by"] == "scope_median" and out["2019-05", "B"]["filled_value"] == 4.0
+    # the mark says how each figure was truly made: a carried one is that of the last two months
+    for r in out.values():
+        assert (r["filled_by"] is None) == (r["value_filled_as"] is None) and (r["filled_value"] is None) == (r["filled_by"] in (None, "none"))
+        assert r["filled_by"] != "carried" or (r["value_filled_as"], r["filled_value"]) in {("ffill", 6.0), ("ffill", 8.0)}
     assert out["2019-08", "A"]["filled_reason"] in ("provider_missing", "suppressed") and out["2019-12", "A"]["filled_reason"] is None
 
 
@@ -89,3 +93,32 @@ def test_held_out_values_are_recovered_better_than_by_the_series_median(spark):
 def test_reasons(spark, reason, observed):
     df = macro(spark, [("2019-01", "A", 1.0, reason)])
     assert df.select(fill.usable(df["value"], df["value_reason"])).first()[0] is observed
+
+
+def test_a_series_without_figures_takes_its_other_vintages(spark):
+    rows = [("v1", f"2019-{m:02d}", "A", float(m), 1, 2, T, "raw", "", "", 0) for m in range(1, 6)] + [("v2", f"2019-{m:02d}", "A", None, 1, 2, T, "raw", "", "", 0) for m in range(1, 6)]
+    out = {r["vintage_month"]: r for r in fill.fill_macro(spark.createDataFrame(rows, SCHEMA)).filter("value_filled_as is not null").collect()}
+    assert (out["v2"]["filled_by"], out["v2"]["filled_value"]) == ("entity_median", 3.0)
+    none = fill.fill_macro(spark.createDataFrame(rows[5:], SCHEMA)).collect()
+    assert {(r["filled_by"], r["filled_value"]) for r in none} == {("none", None)}
+
+
+def test_reasons_beyond_the_dictionary_are_decoded(spark, monkeypatch):
+    common = [(f"{2000 + i // 12}-{i % 12 + 1:02d}", s, None if i % 3 == 0 else float(i), f"withheld by {s}" if i % 3 == 0 and i != 60 else "") for s in "ABCD" for i in range(90)]
+    monkeypatch.setattr(fill, "dictionary", lambda df, column, size=32, real=fill.dictionary: real(df, column, 1))
+    out = {r["series"]: r["filled_reason"] for r in fill.fill_macro(macro(spark, common)).filter("reason_filled_as is not null").collect()}
+    assert len(out) == 4 and all(v is not None for v in out.values())
+    assert sum(v == f"withheld by {k}".lower() for k, v in out.items()) >= 3  # the state of all rare reasons is the most probable one
+
+
+def test_counted_tables_equal_a_plain_count(spark):
+    rng = np.random.default_rng(5)
+    rows = [tuple(int(x) if x >= 0 else None for x in r) for r in rng.integers(-1, 3, (500, 3))]
+    df = spark.createDataFrame(rows, "a int, b int, c int").repartition(5)
+    tree = chow_liu.fit_tree(df, ["a", "b", "c"], [3, 3, 3], smoothing=1e-9)
+    for (i, j), t in tree.joints.items():
+        want = np.zeros((3, 3))
+        for r in rows:
+            if r[i] is not None and r[j] is not None:
+                want[r[i], r[j]] += 1
+        assert np.allclose(t, want / want.sum())

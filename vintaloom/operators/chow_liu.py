@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -61,18 +62,25 @@ class ChowLiuTree:
 def fit_tree(coded: DataFrame, names: Sequence[str], cards: Sequence[int], smoothing: float = 0.5) -> ChowLiuTree:
     """Fit the tree to integer code columns (NULL or -1: missing; a pair counts where both are observed).
 
-    Every row counts. Contingency tables are pre-aggregated in each task; what reaches the driver is at
-    most the sum of cards[i] * cards[j] cells, whatever the number of rows. An empty table gives a tree of
-    uniform tables.
+    Every row counts. Each task counts all contingency tables in one pass over its Arrow batches; what is
+    shuffled and reaches the driver is at most the sum of cards[i] * cards[j] cells a task, whatever the number
+    of rows. An empty table gives a tree of uniform tables.
     """
     names, cards = tuple(names), tuple(int(c) for c in cards)
     m, width = len(names), max(cards) + 1
     pairs = [(i, j) for i in range(m) for j in range(i + 1, m)]
-    cells = [
-        F.when((F.col(names[i]) >= 0) & (F.col(names[j]) >= 0), F.lit(k * width * width) + F.col(names[i]) * width + F.col(names[j]))
-        for k, (i, j) in enumerate(pairs)
-    ]
-    counted = coded.select(F.explode(F.array_compact(F.array(*[c.cast("int") for c in cells]))).alias("cell")).groupBy("cell").count().collect()
+
+    def count(batches):
+        seen = np.zeros((len(pairs), width * width), dtype=np.int64)
+        for pdf in batches:
+            codes = pdf.fillna(-1).to_numpy(dtype=np.int64)
+            for k, (i, j) in enumerate(pairs):
+                both = (codes[:, i] >= 0) & (codes[:, j] >= 0)
+                seen[k] += np.bincount(codes[both, i] * width + codes[both, j], minlength=width * width)
+        (cell,) = np.nonzero(seen.ravel())
+        yield pd.DataFrame({"cell": cell, "n": seen.ravel()[cell]})
+
+    counted = coded.select(*names).mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     tables = [np.full((cards[i], cards[j]), smoothing / (cards[i] * cards[j])) for i, j in pairs]
     for cell, n in counted:
         k, rest = divmod(cell, width * width)

@@ -24,6 +24,18 @@ def p1_fill_features(spark: SparkSession, d: str) -> DataFrame:
     return fill.fill_features(table(spark, d, "feature_result"))
 
 
+def p1_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Every macro cell with its marks, and whether it holds a figure after the filling."""
+    m = fill.fill_macro(table(spark, d, "macro_vintage"))
+    return m.select("vintage_month", "base_month", "series", "value_filled_as", "reason_filled_as", (F.col("filled_by") != "none").alias("has_value"), F.col("filled_reason").isNotNull().alias("has_reason"))
+
+
+def p1_masks(spark: SparkSession, d: str) -> DataFrame:
+    """Every feature cell with its masks after the filling, and whether it holds a figure."""
+    f = fill.fill_features(table(spark, d, "feature_result"))
+    return f.select("window_id", "base_month", "series", "filled_observed", "filled_ffill", "filled_median", F.coalesce("filled_value", "imputed").isNotNull().alias("has_value"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible_readings(table(spark, d, "prices")).select("session", "ticker")
 
@@ -58,7 +70,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return asof.account_knowledge(t("monthly_account"), t("lambda_selection"), t("macro_vintage")).select("run_id", "holding_month", "strategy_id", "vintage_month", "selection_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fill_macro, p1_fill_features, p3_found, p3_reasons, p4_found, p4_changes, p6_found, p6_table, p6_balance, p7_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fill_macro, p1_fill_features, p1_marks, p1_masks, p3_found, p3_reasons, p4_found, p4_changes, p6_found, p6_table, p6_balance, p7_found)}
 
 _PLACEHOLDERS = ", ".join(f"{x:.1f}" for x in fill.PLACEHOLDERS)
 _NOTHING = ", ".join(f"'{x}'" for x in fill.NO_ANSWER)
@@ -103,15 +115,25 @@ select session, ticker from g where
   or volume > 20 * usual or (new_a = 0 and la >= 6) or (new_v = 0 and lv >= 6)
 """
 
+_P1 = f"""m as (select distinct *, {_USABLE} as ok, lower(trim(coalesce(value_reason, ''))) in ({_NOTHING}) as silent, {_MI('base_month')} as mi from macro_vintage),
+g as (select *, coalesce(max(case when ok then 1 end) over (partition by vintage_month, series order by mi range between 2 preceding and 1 preceding), 0) as near from m),
+f as (select distinct *, imputed is null or isnan(imputed) as gap, {_MI('base_month')} as mi from feature_result),
+h as (select *, coalesce(max(case when observed_mask then 1 end) over (partition by window_id, series order by mi range between 2 preceding and 1 preceding), 0) as near from f)"""
+
 SQL: dict[str, str] = {
     "p1_found": f"""
-with m as (select distinct *, {_USABLE} as ok, {_MI('base_month')} as mi from macro_vintage),
-g as (select *, coalesce(max(case when ok then 1 end) over (partition by vintage_month, series order by mi range between 2 preceding and 1 preceding), 0) as near from m),
-f as (select distinct *, {_MI('base_month')} as mi from feature_result),
-h as (select *, coalesce(max(case when observed_mask then 1 end) over (partition by window_id, series order by mi range between 2 preceding and 1 preceding), 0) as near from f)
+with {_P1}
 select 'macro_vintage' as place, vintage_month as scope_key, base_month, series, 'value' as field, case when near = 1 then 'ffill' else 'median' end as filled_as from g where not ok
-union all select 'macro_vintage', vintage_month, base_month, series, 'value_reason', 'reason' from g where not ok and lower(trim(coalesce(value_reason, ''))) in ({_NOTHING})
-union all select 'feature_result', window_id, base_month, series, 'imputed', case when near = 1 then 'ffill' else 'median' end from h where imputed is null or isnan(imputed)""",
+union all select 'macro_vintage', vintage_month, base_month, series, 'value_reason', 'reason' from g where not ok and silent
+union all select 'feature_result', window_id, base_month, series, 'imputed', case when near = 1 then 'ffill' else 'median' end from h where gap""",
+    "p1_marks": f"""
+with {_P1}
+select vintage_month, base_month, series, case when not ok then case when near = 1 then 'ffill' else 'median' end end as value_filled_as, case when not ok and silent then 'reason' end as reason_filled_as,
+  case when not ok then (series in (select series from g where ok)) or (vintage_month in (select vintage_month from g where ok)) end as has_value, not ok and silent as has_reason from g""",
+    "p1_masks": f"""
+with {_P1}
+select window_id, base_month, series, case when gap then false else observed_mask end as filled_observed, case when gap then near = 1 else ffill_mask end as filled_ffill, case when gap then near = 0 else median_mask end as filled_median,
+  not gap or series in (select series from h where observed_mask and not gap) or window_id in (select window_id from h where observed_mask and not gap) as has_value from h""",
     "p3_found": _P3,
     "p4_found": _P4 + "select vintage_month, base_month, series, change_kind from j where change_kind is not null",
     "p4_changes": _P4 + "select * from j where change_kind is not null",
