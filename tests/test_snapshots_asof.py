@@ -33,8 +33,8 @@ def test_as_of_against_brute_force_with_and_without_shards(spark):
     for i, k, t, _ in events:
         seen = [(a, n) for kk, a, n in versions if kk == k and k and a and t and a < t]
         want[i] = max(seen)[1] if seen else None
-    for hot in (10**9, 40):
-        got = asof.attach_as_of(e, v, entity="k", event_time="t", version_entity="k", version_time="at", rank=F.struct("at", "ver"), payload="known", hot_rows=hot)
+    for hot, days in ((10**9, 10**4), (10**9, 7), (5, 7), (40, 10**4)):
+        got = asof.attach_as_of(e, v, entity="k", event_time="t", version_entity="k", version_time="at", rank=F.struct("at", "ver"), payload="known", hot_rows=hot, shard_days=days)
         assert {r["id"]: r["known"] and r["known"]["ver"] for r in got.collect()} == want
 
 

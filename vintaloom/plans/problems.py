@@ -70,7 +70,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return asof.account_knowledge(t("monthly_account"), t("lambda_selection"), t("macro_vintage")).select("run_id", "holding_month", "strategy_id", "vintage_month", "selection_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fill_macro, p1_fill_features, p1_marks, p1_masks, p3_found, p3_reasons, p4_found, p4_changes, p6_found, p6_table, p6_balance, p7_found)}
+def p7_fine_shards(spark: SparkSession, d: str) -> DataFrame:
+    """p7_found with weekly shards, each dealt out from 50 events on: the cuts change nothing."""
+    t = lambda n: table(spark, d, n)
+    return asof.account_knowledge(t("monthly_account"), t("lambda_selection"), t("macro_vintage"), shard_days=7, hot_rows=50).select("run_id", "holding_month", "strategy_id", "vintage_month", "selection_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fill_macro, p1_fill_features, p1_marks, p1_masks, p3_found, p3_reasons, p4_found, p4_changes, p6_found, p6_table, p6_balance, p7_found, p7_fine_shards)}
 
 _PLACEHOLDERS = ", ".join(f"{x:.1f}" for x in fill.PLACEHOLDERS)
 _NOTHING = ", ".join(f"'{x}'" for x in fill.NO_ANSWER)
@@ -158,3 +164,4 @@ l as (select a.run_id, a.holding_month, a.strategy_id, max(struct_pack(at := s.a
 select a.run_id, a.holding_month, a.strategy_id, coalesce(vm, '') as vintage_month, coalesce(sid, -1)::bigint as selection_id
 from a left join v using (run_id, holding_month, strategy_id) left join l using (run_id, holding_month, strategy_id)""",
 }
+SQL["p7_fine_shards"] = SQL["p7_found"]
