@@ -117,3 +117,27 @@ def test_quoted_cells(spark):
     assert got[0] == rows[0][1] and got[2:4] == [r[1] for r in rows[2:4]] and got[1][0] == "" and got[1][2] == "z"
     tab = spark.createDataFrame([('\t\t"1,5"',)], "line string")
     assert list(tab.select(drift.split_cells(tab["line"], drift.F.lit("\t"))).first()[0]) == ["", "", "1,5"]
+
+
+def test_a_weekday_with_its_own_behaviour_has_its_own_fences(spark):
+    r = quiet(2100, 4)
+    rng = np.random.default_rng(8)
+    wild = [i for i, x in enumerate(r) if dt.date.fromisoformat(x[0]).weekday() == 0]
+    for i in wild:  # Mondays jump and come back each week
+        r[i][6] *= float(np.exp(rng.normal(0, 0.12)))
+    tuesday = next(i for i in range(1500, 1600) if dt.date.fromisoformat(r[i][0]).weekday() == 3)
+    r[tuesday][6] *= 1.25
+    found = {x["session"]: x["reasons"] for x in spikes.implausible_readings(prices(spark, [tuple(x) for x in r])).collect()}
+    spiky = [i for i in wild if "spike" in found.get(r[i][0], [])]
+    assert "spike" in found[r[tuesday][0]] and len(spiky) < 0.05 * len(wild)
+    plain = spikes.normal_behaviour(spark.createDataFrame([("A", 1, float(i), float(i)) for i in range(100)] + [("A", 2, None, 5.0)], "ticker string, context int, c double, v double"), "c", "v", "context").collect()
+    thin = next(x for x in plain if x["context"] == 2)
+    assert (thin["q1"], thin["q3"]) == (24.0, 74.0)  # without readings of its own: the ticker's
+
+
+def test_compressed_sketches_stay_near_the_quantiles(spark):
+    n, k = 200_000, 256
+    df = spark.range(n, numPartitions=8).selectExpr("'A' as ticker", "cast(id % 5 as int) as context", "randn(3) as c", "exp(randn(4)) as v")
+    exact = df.groupBy("ticker").agg(*[drift.F.percentile(c, p).alias(a) for c, p, a in (("c", 0.25, "q1"), ("c", 0.75, "q3"), ("v", 0.5, "usual"))]).first()
+    for row in spikes.normal_behaviour(df, "c", "v", "context", k=k).collect():
+        assert all(abs(row[a] - exact[a]) < 0.05 for a in ("q1", "q3", "usual"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from ..session import cut
 
 SKETCH_K = 4096
 FENCE = 5.25  # fences at Q1 - FENCE * IQR and Q3 + FENCE * IQR of signed session changes: about 11 typical changes
 VOLUME_TIMES = 20.0
 RUN = 6
+PRIOR = 512  # a context counts as much as its ticker from this number of readings on
 
 
 def latest_readings(prices: DataFrame) -> DataFrame:
@@ -19,19 +22,23 @@ def latest_readings(prices: DataFrame) -> DataFrame:
     )
 
 
-def normal_behaviour(readings: DataFrame, change: str, level: str, context: Column) -> DataFrame:
-    """Per ticker: quartiles of `change` and the median of `level`, from KLL sketches.
+def normal_behaviour(readings: DataFrame, change: str, level: str, context: str, k: int = SKETCH_K, prior: int = PRIOR) -> DataFrame:
+    """Per ticker and context: quartiles of `change` (q1, q3) and the median of `level` (usual), from KLL sketches.
 
-    Sketches are built per (ticker, context) in every task, merged across tasks, then merged over the
-    contexts of a ticker; a sketch has at most a few times SKETCH_K numbers whatever the number of readings.
+    Sketches are built per (ticker, context) in every task and merged across tasks, then over the contexts of a
+    ticker; a sketch has at most a few times k numbers whatever the number of readings. A context's figure is
+    weighed against the ticker's by its own readings against `prior`, so a thin context falls back to the
+    ticker's behaviour and one without readings takes it whole.
     """
-    per_context = readings.groupBy("ticker", context.alias("context")).agg(
-        F.kll_sketch_agg_double(F.when(F.col(change).isNotNull(), F.col(change)), F.lit(SKETCH_K)).alias("c"),
-        F.kll_sketch_agg_double(F.when(F.col(level).isNotNull(), F.col(level)), F.lit(SKETCH_K)).alias("v"),
+    per_context = readings.groupBy("ticker", context).agg(
+        F.kll_sketch_agg_double(F.when(F.col(change).isNotNull(), F.col(change)), F.lit(k)).alias("c"),
+        F.kll_sketch_agg_double(F.when(F.col(level).isNotNull(), F.col(level)), F.lit(k)).alias("v"),
     )
-    merged = per_context.groupBy("ticker").agg(F.kll_merge_agg_double("c", F.lit(SKETCH_K)).alias("c"), F.kll_merge_agg_double("v", F.lit(SKETCH_K)).alias("v"))
+    merged = per_context.groupBy("ticker").agg(F.kll_merge_agg_double("c", F.lit(k)).alias("tc"), F.kll_merge_agg_double("v", F.lit(k)).alias("tv"))
     q = lambda s, p: F.when(F.kll_sketch_get_n_double(s) > 0, F.kll_sketch_get_quantile_double(s, F.lit(p)))
-    return merged.select("ticker", q("c", 0.25).alias("q1"), q("c", 0.75).alias("q3"), q("v", 0.5).alias("usual"))
+    n = lambda s: F.kll_sketch_get_n_double(s)
+    both = lambda own, all_, p: (F.coalesce(q(own, p), F.lit(0.0)) * n(own) + q(all_, p) * prior) / (n(own) + prior)
+    return per_context.join(merged, "ticker").select("ticker", context, both("c", "tc", 0.25).alias("q1"), both("c", "tc", 0.75).alias("q3"), both("v", "tv", 0.5).alias("usual"))
 
 
 def implausible_readings(prices: DataFrame) -> DataFrame:
@@ -41,7 +48,8 @@ def implausible_readings(prices: DataFrame) -> DataFrame:
     'spike' (adj_close leaves the fences and is back within two sessions), 'range' (high or low against
     close outside the fences), 'volume' (far above the usual) and 'stuck' (from the second of at least RUN
     equal sessions). NULL and NaN readings are no case; a NULL ends a run. A move that holds is no case.
-    Context of a sketch is the weekday of the session. A ticker's window is bounded by its sessions.
+    Fences are those of the ticker on the session's weekday (sessions have no hour), see normal_behaviour; a
+    session that is no date has a context of its own. A ticker's window is bounded by its sessions.
     """
     r = latest_readings(prices)
     f = F.col
@@ -61,9 +69,9 @@ def implausible_readings(prices: DataFrame) -> DataFrame:
         r = r.withColumn(f"_new_{c}", (~same).cast("int")).withColumn(f"_run_{c}", F.sum(f"_new_{c}").over(w))
         r = r.withColumn(f"_len_{c}", F.count("*").over(W.partitionBy("ticker", f"_run_{c}")))
         r = r.withColumn(f"stuck_{c}", (f(f"_new_{c}") == 0) & (f(f"_len_{c}") >= RUN))
-    weekday = F.dayofweek(F.try_to_date("session"))
-    normal = normal_behaviour(r, "change", "vol", weekday)
-    j = r.join(normal, "ticker", "left")
+    r = r.withColumn("context", F.coalesce(F.dayofweek(F.try_to_date("session")), F.lit(0)))
+    r = cut(r.select("session", "ticker", "context", "high", "low", "close", "volume", "bad", "x", "p1", "p2", "n1", "n2", "change", "vol", "stuck_adj_close", "stuck_volume"))
+    j = r.join(normal_behaviour(r, "change", "vol", "context"), ["ticker", "context"], "left")
     spread = FENCE * (f("q3") - f("q1"))
     out = lambda a, b: ((f(a) - f(b)) > f("q3") + spread) | ((f(a) - f(b)) < f("q1") - spread)
     near = lambda a, b: ~out(a, b) & (F.abs(f(a) - f(b)) < 0.5 * F.greatest(F.abs(f("x") - f(a)), F.abs(f("x") - f(b))))

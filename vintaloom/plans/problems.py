@@ -105,15 +105,22 @@ b as (select *, lag(x, 1 ignore nulls) over w p1, lag(x, 2 ignore nulls) over w
   from a window w as (partition by ticker order by session)),
 c as (select *, sum(new_a) over w ra, sum(new_v) over w rv from b window w as (partition by ticker order by session)),
 e as (select *, count(*) over (partition by ticker, ra) la, count(*) over (partition by ticker, rv) lv from c),
-s as (select ticker, quantile_cont(x - p1, 0.25) q1, quantile_cont(x - p1, 0.75) q3, median(case when volume > 0 and not isinf(volume) then volume end) usual from e group by ticker),
-k as (select e.*, usual, q3 + 5.25 * (q3 - q1) hi, q1 - 5.25 * (q3 - q1) lo from e join s using (ticker)),
+e2 as (select *, coalesce(dayofweek(try_cast(session as date)) + 1, 0) as wd, case when volume > 0 and not isinf(volume) then volume end as vol from e),
+s as (select ticker, quantile_cont(x - p1, 0.25) q1, quantile_cont(x - p1, 0.75) q3, median(vol) usual from e2 group by ticker),
+sw as (select ticker, wd, count(x - p1) nc, count(vol) nv, quantile_cont(x - p1, 0.25) q1, quantile_cont(x - p1, 0.75) q3, median(vol) usual from e2 group by all),
+-- a weekday's figures weigh by its readings against 512 of the ticker's
+m as (select sw.ticker, wd, (coalesce(sw.q1, 0) * nc + s.q1 * 512) / (nc + 512) q1, (coalesce(sw.q3, 0) * nc + s.q3 * 512) / (nc + 512) q3, (coalesce(sw.usual, 0) * nv + s.usual * 512) / (nv + 512) usual from sw join s using (ticker)),
+k as (select e2.*, usual, q3 + 5.25 * (q3 - q1) hi, q1 - 5.25 * (q3 - q1) lo from e2 join m using (ticker, wd)),
 g as (select *,
   (x - p1 > hi or x - p1 < lo) xp1, (x - p2 > hi or x - p2 < lo) xp2, (x - n1 > hi or x - n1 < lo) xn1, (x - n2 > hi or x - n2 < lo) xn2,
   (n1 - p1 > hi or n1 - p1 < lo) np, (p1 - p2 > hi or p1 - p2 < lo) pp,
   not (n1 - p1 > hi or n1 - p1 < lo) and abs(n1 - p1) < 0.5 * greatest(abs(x - n1), abs(x - p1)) back1,
   not (n2 - p1 > hi or n2 - p1 < lo) and abs(n2 - p1) < 0.5 * greatest(abs(x - n2), abs(x - p1)) back2,
   not (n1 - p2 > hi or n1 - p2 < lo) and abs(n1 - p2) < 0.5 * greatest(abs(x - n1), abs(x - p2)) back3 from k)
-select session, ticker from g where
+select session, ticker, adj_close <= 0 or high <= 0 or low <= 0 or volume < 0 or volume = 'inf'::double or high < greatest(open, low, close) or low > least(open, high, close) as impossible,
+  (xp1 and xn1 and back1) or (xp1 and xn2 and np and back2) or (xp2 and xn1 and pp and back3) as spike,
+  (high > 0 and close > 0 and abs(ln(case when high > 0 and close > 0 then high / close end)) > hi) or (low > 0 and close > 0 and abs(ln(case when low > 0 and close > 0 then low / close end)) > hi) as wide,
+  volume > 20 * usual as volume, (new_a = 0 and la >= 6) or (new_v = 0 and lv >= 6) as stuck from g where
   adj_close <= 0 or high <= 0 or low <= 0 or volume < 0 or volume = 'inf'::double or high < greatest(open, low, close) or low > least(open, high, close)
   or (xp1 and xn1 and back1) or (xp1 and xn2 and np and back2) or (xp2 and xn1 and pp and back3)
   or (high > 0 and close > 0 and abs(ln(case when high > 0 and close > 0 then high / close end)) > hi)
@@ -140,7 +147,8 @@ select vintage_month, base_month, series, case when not ok then case when near =
 with {_P1}
 select window_id, base_month, series, case when gap then false else observed_mask end as filled_observed, case when gap then near = 1 else ffill_mask end as filled_ffill, case when gap then near = 0 else median_mask end as filled_median,
   not gap or series in (select series from h where observed_mask and not gap) or window_id in (select window_id from h where observed_mask and not gap) as has_value from h""",
-    "p3_found": _P3,
+    "p3_found": f"select session, ticker from ({_P3})",
+    "p3_reasons": f"select session, ticker, unnest(list_filter([case when impossible then 'impossible' end, case when spike then 'spike' end, case when wide then 'range' end, case when volume then 'volume' end, case when stuck then 'stuck' end], lambda x: x is not null)) as reason from ({_P3})",
     "p4_found": _P4 + "select vintage_month, base_month, series, change_kind from j where change_kind is not null",
     "p4_changes": _P4 + "select * from j where change_kind is not null",
     "p6_balance": f"""
