@@ -61,13 +61,29 @@ def test_density_peaks_against_brute_force(spark):
     vectors += [(500 + k, list(map(float, a + (b - a) * k / 30))) for k in range(31)]  # a chain joins two groups
     vectors += [(700, vectors[3][1]), (701, [2 * v for v in vectors[3][1]]), (702, []), (703, None), (704, [0.0] * 8), (705, [1.0, None] + [0.0] * 6), (706, [float("nan")] * 8), (707, list(map(float, rng.normal(size=8))))]
     df = spark.createDataFrame([(i, v, "x", 0) for i, v in vectors + vectors[:5]], "k long, v array<double>, cell string, id int")
-    out = peaks.density_peaks(df, id_col="k", vec_col="v", dim=8, bits=8, link_tables=64)
+    out = peaks.density_peaks(df, id_col="k", vec_col="v")
     got = {r["id"]: r["cluster_id"] for r in out.collect()}
     want = brute_clusters(vectors, 0.97)
     assert got == want and len(set(want.values())) < 8
+    # a peak has no denser neighbour, and density doesn't fall along the pointers
+    rows = {r["id"]: r for r in out.collect()}
+    for r in rows.values():
+        assert rows[r["peak"]]["cluster_id"] == r["cluster_id"] and rows[r["peak"]]["density"] >= r["density"]
+        assert (rows[r["cell"]]["delta"] is None) == (r["peak"] == r["cell"])
+    parts = peaks.describe_clusters(out, by=("cluster_id", "peak")).collect()
+    assert sum(r["size"] for r in parts) == len(want) and len(parts) > len(set(want.values()))  # the chain is split at its peaks
     d = {r["cluster_id"]: r for r in peaks.describe_clusters(out).collect()}
     assert sum(r["size"] for r in d.values()) == len(want) and all(len(r["typical"]) == min(3, r["size"]) for r in d.values())
-    assert peaks.density_peaks(df.limit(0), id_col="k", vec_col="v", dim=8).count() == 0
+    assert peaks.density_peaks(df.limit(0), id_col="k", vec_col="v").count() == 0
+
+
+def test_lengths_don_t_mix_and_tables_grow_with_bits(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [3.0, 0.0, 0.0]), (5, [-1.0, 0.0])]
+    out = peaks.density_peaks(spark.createDataFrame(rows, "k long, v array<double>"), id_col="k", vec_col="v")
+    assert {r["id"]: r["cluster_id"] for r in out.collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    for bits in (8, 20, 30):
+        p = (1 - np.arccos(0.97) / np.pi) ** bits
+        assert (1 - p) ** peaks.tables_needed(bits, 0.97, 1e-6) <= 1e-6
 
 
 def test_components(spark):

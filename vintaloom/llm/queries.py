@@ -30,6 +30,11 @@ def _measured(spark: SparkSession, d: str) -> DataFrame:
     return cut(docs.select("doc_id", "source", tokens.token_count(F.col("text")).alias("n_tokens")))
 
 
+def p5_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of each cluster that lead to its density peaks."""
+    return peaks.describe_clusters(peaks.density_peaks(table(spark, d, "feature_scores"), id_col="score_id", vec_col="scores"), by=("cluster_id", "peak"))
+
+
 def _packed(measured: DataFrame, d: str) -> packing.Packed:
     return packing.pack(measured, table(measured.sparkSession, d, "pack_targets"), id_col="doc_id", size_col="n_tokens")
 
@@ -75,7 +80,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p5_found, p5_clusters, p8_pack, p8_report, p8_balance, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
+    f.__name__: f for f in (p2_found, p5_found, p5_clusters, p5_peaks, p8_pack, p8_report, p8_balance, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
 }
 
 SQL: dict[str, str] = {
