@@ -178,6 +178,12 @@ def test_mix_draws_by_weight(spark):
     t = spark.createDataFrame([("m", "s", 0.25, 1)], "mix_name string, source string, target_share double, max_repeats int")
     got = mixing.mix_sources(df, t, id_col="id", source_col="source", size_col="n", weight_col="w").toPandas()
     assert len(got) == 1000 and 0.70 < (got.id % 2 == 0).mean() < 0.80
+    # items at the limit of their repeats leave the rest of the quota to the others
+    for repeats, share in ((1, 0.75), (2, 0.9)):
+        heavy = df.withColumn("w", F.when(F.col("id") % 4 == 0, 50.0).otherwise(1.0))
+        t = spark.createDataFrame([("m", "s", share, repeats)], "mix_name string, source string, target_share double, max_repeats int")
+        got = mixing.mix_sources(heavy, t, id_col="id", source_col="source", size_col="n", weight_col="w").toPandas()
+        assert abs(int((got.n_tokens * got.copies).sum()) - 40_000 * share) <= 10 and set(got[got.id % 4 == 0].copies) == {repeats} and (got.id % 4 == 0).sum() == 1000
 
 
 # abuse

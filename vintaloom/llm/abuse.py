@@ -16,12 +16,15 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from ..session import cut
 
 HASH_BITS = 20
 ORDERS = (4, 6, 8)
 VOWEL, FIRST, BREAK = 1, 2, 31
 MAX_LABELLED = 5_000
+MAX_BYTES = 128 << 20
 DAMPING = 60.0  # keeps short lines from reaching the margin of a whole sentence
 
 # Letters of other scripts and digits that stand for Latin letters.
@@ -255,15 +258,18 @@ def _train(pages: list[list[np.ndarray]], labels: np.ndarray, rounds: int, per_p
     return model
 
 
-def fit_abuse(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> AbuseModel:
-    """Train on the labelled pages: at most max_labelled of them, chosen by a hash of doc_id, with their whole texts.
+def fit_abuse(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_BYTES) -> AbuseModel:
+    """Train on the labelled pages: at most max_labelled of them and max_bytes of text, whole texts in the order of a hash of doc_id.
 
     A page's label is the majority of its annotators (repeated marks of one annotator count once); ties are left out.
     """
     votes = labels.filter("doc_id is not null and is_abusive is not null").select("doc_id", "annotator", "is_abusive").distinct().groupBy("doc_id").agg(F.avg("is_abusive").alias("share"))
     chosen = votes.filter("share <> 0.5").select("doc_id", (F.col("share") > 0.5).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     pages = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))  # at most max_labelled rows
-    rows = pages.orderBy("doc_id").toPandas()
+    pages = cut(pages)
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    upto = pages.select("doc_id", F.sum(size).over(W.orderBy(F.xxhash64("doc_id"), "doc_id")).alias("upto"))  # lengths of at most max_labelled pages
+    rows = pages.join(F.broadcast(upto.filter(F.col("upto") <= max_bytes)), "doc_id").orderBy("doc_id").toPandas()
     return train([t if isinstance(t, str) else "" for t in rows["text"]], rows["label"].to_numpy())
 
 

@@ -26,8 +26,10 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _measured(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    return cut(docs.select("doc_id", "source", tokens.token_count(F.col("text")).alias("n_tokens")))
+    """Texts with their tokens and the weight they are drawn by: a page that wasn't answered with success weighs a quarter."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text", "http_status")
+    weight = F.when(F.col("http_status").between(200, 299), 1.0).otherwise(0.25).alias("weight")
+    return cut(docs.select("doc_id", "source", weight, tokens.token_count(F.col("text")).alias("n_tokens")))
 
 
 def p5_peaks(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +57,7 @@ def p8_balance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_sources(_measured(spark, d), table(spark, d, "mix_targets"), id_col="doc_id", source_col="source", size_col="n_tokens").withColumnRenamed("id", "doc_id")
+    return mixing.mix_sources(_measured(spark, d), table(spark, d, "mix_targets"), id_col="doc_id", source_col="source", size_col="n_tokens", weight_col="weight").withColumnRenamed("id", "doc_id")
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
