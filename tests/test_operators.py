@@ -121,12 +121,19 @@ def test_statistics(spark):
 def test_timing(spark):
     v = spark.createDataFrame([("2002-11",), ("2002-12",), ("2003-01",)], "vintage_month string")
     m = spark.createDataFrame([("2003-02",), ("2002-01",)], "month string")
-    led = {r["month"]: r for r in T.decision_ledger(m, v).collect()}
+    led = {r["month"]: r for r in T.decision_ledger(m, v, T.exchange_sessions(spark, 1990, 2004)).withColumn("at", F.col("decision_at").cast("string")).collect()}
     r = led["2003-02"]
     assert (r["vintage"], r["cutoff"], r["n_rows"], r["training_rows"][0]["target_month"], r["training_rows"][-1]["target_month"]) == ("2002-12", "2002-11", 48, "1999-01", "2002-12")
     assert r["targets_ended"] and r["bases_known"] and r["vintage_available"] and led["2002-01"]["vintage"] is None
+    assert r["at"] == "2003-02-03 14:00:00" and r["session"] == "2003-02-03" and r["training_rows"][-1]["target_end_at"] < r["decision_at"]
+    wrong = T.decision_ledger(m, v, T.exchange_sessions(spark, 1990, 2004).filter("session < '2003-01-01' or session >= '2003-02-01'")).filter("month = '2003-02'").first()
+    assert not wrong["targets_ended"]  # the last target's end isn't known
+    fixed = T.decision_ledger(m, v, T.exchange_sessions(spark, 1990, 2004), fixed="2003-01").filter("month = '2003-02'").first()
+    assert fixed["vintage"] == "2003-01" and fixed["vintage_available"] is None
     folds = T.forward_folds(m, "month").filter("month = '2003-02'").orderBy("fold").collect()
-    assert (folds[0]["rows"], folds[-1]["rows"], folds[0]["first_target"]) == (23, 47, "1999-01")
+    # 24 folds of 23 to 46 rows; the last is tried on the month two before the decision, whose return has ended
+    assert [f["rows"] for f in folds] == list(range(23, 47)) and {f["first_target"] for f in folds} == {"1999-01"}
+    assert (folds[0]["validation_month"], folds[-1]["last_target"], folds[-1]["validation_month"]) == ("2001-01", "2002-10", "2002-12")
     assert one(spark, T.decision_time(F.lit("2003-02-03")).cast("string")) == "2003-02-03 14:00:00"
     d = spark.createDataFrame([(dt.datetime(2023, 3, 1, 21), dt.datetime(2023, 4, 3, 20))], "a timestamp_ntz, b timestamp_ntz")
     assert d.select(T.holding_days(F.col("a"), F.col("b"))).first()[0] == 33

@@ -18,8 +18,8 @@ def month_index(m: Column) -> Column:
 
 
 def index_month(i: Column) -> Column:
-    """The inverse of month_index."""
-    return F.format_string("%04d-%02d", F.floor(i / 12).cast("int"), (F.pmod(i, F.lit(12)) + 1).cast("int"))
+    """The inverse of month_index; NULL for NULL."""
+    return F.when(i.isNotNull(), F.format_string("%04d-%02d", F.floor(i / 12).cast("int"), (F.pmod(i, F.lit(12)) + 1).cast("int")))
 
 
 def add_month(m: Column, k: int | Column) -> Column:

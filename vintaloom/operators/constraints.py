@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 class ContractError(ValueError):
@@ -88,3 +88,85 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
 def overlay(history: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """History with rows replaced by updates of the same key, and new keys added."""
     return history.join(updates.select(*keys).distinct(), list(keys), "left_anti").unionByName(updates, allowMissingColumns=True)
+
+
+def common_to_all(rows: DataFrame, by: Sequence[str], variant: str, key: str) -> DataFrame:
+    """(by, key): the keys that every variant of a group holds (INTERSECT over any number of variants, in one aggregation each)."""
+    one = rows.select(*by, variant, key).distinct()
+    n = one.groupBy(*by).agg(F.count_distinct(variant).alias("_n")) if by else one.agg(F.count_distinct(variant).alias("_n"))
+    held = one.groupBy(*by, key).agg(F.count(variant).alias("_held"))
+    joined = held.join(n, list(by)) if by else held.join(n, how="cross")
+    return joined.filter("_held = _n").select(*by, key)
+
+
+def domain_violations(df: DataFrame, domains: dict[str, Sequence]) -> DataFrame:
+    """(column, value, n_rows): values outside a column's domain; NULL counts as outside."""
+    one = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), F.coalesce(F.col(c).isin(list(ok)), F.lit(False)).alias("ok")) for c, ok in domains.items()]
+    return df.select(F.explode(F.array(*one)).alias("x")).filter("not x.ok").groupBy("x.column", "x.value").agg(F.count("*").alias("n_rows"))
+
+
+def panel_faults(rows: DataFrame, by: Sequence[str], expected: dict[str, Sequence[str]]) -> DataFrame:
+    """(by, column values, fault): cells 'missing' from or 'unexpected' in what should hold every combination of the expected values, and 'repeated' ones.
+
+    The expected combinations are a parameter; they are exploded from each group, so no group is gathered.
+    """
+    names = list(expected)
+    want = rows.select(*by).distinct()
+    for c in names:
+        want = want.withColumn(c, F.explode(F.array(*[F.lit(v) for v in expected[c]])))
+    have = rows.groupBy(*by, *names).agg(F.count("*").alias("_n"))
+    j = want.withColumn("_w", F.lit(True)).join(have, [*by, *names], "full_outer")
+    fault = F.when(F.col("_n").isNull(), "missing").when(F.col("_w").isNull(), "unexpected").when(F.col("_n") > 1, "repeated")
+    return j.withColumn("fault", fault).filter("fault is not null").select(*by, *names, "fault")
+
+
+def month_gaps(rows: DataFrame, by: Sequence[str], month: str) -> DataFrame:
+    """(by, month, previous, gap): months that don't follow the one before by exactly one; repeated months have gap 0."""
+    from ..functions.months import month_index
+
+    w = W.partitionBy(*by).orderBy(month)
+    i = month_index(F.col(month))
+    return rows.select(*by, month, F.lag(month).over(w).alias("previous"), (i - F.lag(i).over(w)).alias("gap")).filter("gap <> 1")
+
+
+# Historic series and the successors whose group they take; their own figures are never replaced.
+ALIASES = {
+    "PPIFGS": "WPSFD49207",
+    "PPIFCG": "WPSFD49502",
+    "PPIITM": "WPSID61",
+    "PPICRM": "WPSID62",
+    "CUUR0000SAD": "CUSR0000SAD",
+    "CUUR0000SA0L2": "CUSR0000SA0L2",
+    "AMBSL": "BOGMBASE",
+    "TWEXMMTH": "TWEXAFEGSMTHx",
+    "VXOCLSx": "VIXCLSx",
+}
+
+
+def group_of_series(series: DataFrame, groups: DataFrame, aliases: dict[str, str] = ALIASES) -> DataFrame:
+    """(series, reference, grp, alias): the group of each series by its upper-cased name, or by that of its successor; NULL if unknown."""
+    successor = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]) if aliases else F.lit(None).cast("map<string,string>")
+    one = series.withColumn("_new", F.element_at(successor, F.col("series"))).withColumn("reference", F.coalesce("_new", "series"))
+    known = groups.groupBy(F.upper("series").alias("_k")).agg(F.min("grp").cast("int").alias("grp"))
+    return one.join(known, F.upper("reference") == F.col("_k"), "left").select("series", "reference", "grp", F.col("_new").isNotNull().alias("alias"))
+
+
+def overlay_all(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The rows of the greatest `order` of every key: any number of updates laid over each other in one aggregation."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order])).alias("_x")).select(*keys, "_x.*")
+
+
+def first_session_faults(prices: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(ticker, month, fault) for prices (session, ticker, adj_close, final) and the first sessions of months: what keeps a month's return from being made."""
+    span = prices.groupBy("ticker").agg(F.min("session").alias("a"), F.max("session").alias("b"))
+    months = firsts.groupBy().agg(F.array_sort(F.collect_list(F.struct("session", "month"))).alias("all"))  # bounded by the calendar
+    within = F.filter("all", lambda m: (m["month"] >= F.substring("a", 1, 7)) & (m["session"] <= F.col("b")))
+    want = span.join(F.broadcast(months), how="cross").select("ticker", "a", F.inline(within))
+    j = want.join(prices.select("session", "ticker", "adj_close", "final", F.lit(True).alias("_is")), ["session", "ticker"], "left")
+    good = (F.col("adj_close") > 0) & (F.abs("adj_close") < float("inf"))
+    fault = (
+        F.when(F.col("_is").isNull(), F.when(F.col("session") < F.col("a"), "partial_listing_month").otherwise("first_session_missing"))
+        .when(~F.coalesce("final", F.lit(False)), "not_final").when(~F.coalesce(good, F.lit(False)), "bad_price")
+    )
+    return j.select("ticker", "month", fault.alias("fault")).filter("fault is not null")

@@ -19,13 +19,15 @@ def spine(df: DataFrame, entity: Sequence[str], month: str) -> DataFrame:
     return full.join(df, [*entity, month], "left")
 
 
-def latest_before(months: DataFrame, vintages: DataFrame, lag: int) -> DataFrame:
-    """(month, vintage): the latest of the vintages not later than month - lag; NULL if there is none.
+def latest_before(months: DataFrame, vintages: DataFrame, lag: int, fixed: str | None = None) -> DataFrame:
+    """(month, vintage): the latest of the vintages not later than month - lag, or the `fixed` one if it is among them; NULL if there is none.
 
     Both lists are bounded by the calendar.
     """
     v = vintages.select(F.col("vintage_month").alias("vintage")).distinct()
     m = months.select("month").distinct()
+    if fixed is not None:
+        return m.withColumn("want", F.lit(fixed)).join(v, F.col("want") == F.col("vintage"), "left").select("month", "vintage")
     both = m.select("month", add_month(F.col("month"), -lag).alias("at"), F.lit(None).cast("string").alias("vintage")).unionByName(v.select(F.lit(None).cast("string").alias("month"), F.col("vintage").alias("at"), "vintage"))
     known = F.max("vintage").over(W.orderBy("at", F.col("month").isNotNull()).rowsBetween(W.unboundedPreceding, 0))
     return both.withColumn("known", known).filter("month is not null").select("month", F.col("known").alias("vintage"))
@@ -38,10 +40,13 @@ def training_windows(decisions: DataFrame, month: str, train: int = 48, lag: int
     return out.select(month, (F.col("o") + train + 1).alias("position"), "target_month", add_month(F.col("target_month"), -lag - 1).alias("predictor_base_month"), add_month(F.col("target_month"), -lag).alias("condition_base_month"))
 
 
-def forward_folds(decisions: DataFrame, month: str, train: int = 48, first: int = 23, lag: int = 2) -> DataFrame:
-    """Expanding inner windows of a decision: fold k holds the first `first` + k targets and is tried on the target two months later."""
-    n = train - 1 - first
-    f = decisions.select(month, F.explode(F.sequence(F.lit(0), F.lit(n))).alias("fold")).withColumn("rows", F.col("fold") + first)
+def forward_folds(decisions: DataFrame, month: str, train: int = 48, first: int = 23) -> DataFrame:
+    """Expanding inner windows of a decision: fold k holds the first `first` + k targets and is tried on the target two months later.
+
+    The last fold is tried on month - 2, the last target whose return has ended at the decision: 24 folds of
+    23 to 46 rows for 48 training rows.
+    """
+    f = decisions.select(month, F.explode(F.sequence(F.lit(0), F.lit(train - 2 - first))).alias("fold")).withColumn("rows", F.col("fold") + first)
     start = month_index(F.col(month)) - train - 1
     return f.select(month, "fold", "rows", index_month(start).alias("first_target"), index_month(start + F.col("rows") - 1).alias("last_target"), index_month(start + F.col("rows") + 1).alias("validation_month"))
 
@@ -67,20 +72,38 @@ def holding_days(start: Column, end: Column) -> Column:
     return F.date_diff(local(end), local(start))
 
 
-def decision_ledger(decisions: DataFrame, vintages: DataFrame, month: str = "month", train: int = 48, lag: int = 2) -> DataFrame:
-    """One row a decision month: vintage, cutoff, its training rows, and whether each timing rule holds.
+def closing_time(session: Column, close_hour: Column | int = 16) -> Column:
+    """The session's close in New York as a UTC instant."""
+    hour = F.lit(close_hour) if isinstance(close_hour, int) else close_hour
+    return F.to_utc_timestamp(F.to_timestamp(F.concat(session, F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":00:00"))), ZONE)
+
 
-    Rules: every target ends before the decision, no base month is after the cutoff, the vintage was available.
+def decision_ledger(decisions: DataFrame, vintages: DataFrame, sessions: DataFrame, month: str = "month", train: int = 48, lag: int = 2, fixed: str | None = None) -> DataFrame:
+    """One row a decision month: its instants, vintage, cutoff and training rows, and whether each timing rule holds.
+
+    sessions: (session, close_hour) of the exchange. Decisions fall at 09:00 of the month's first session, which
+    closes the trades; a target's return runs from close to close of first sessions. Rules: every target's
+    return ends before the decision, no base month is after the cutoff, the vintage is available before the
+    decision (NULL for a fixed vintage, which is an ex-post comparison).
     """
-    rows = training_windows(decisions, month, train, lag).groupBy(month).agg(
-        F.array_sort(F.collect_list(F.struct("position", "target_month", "predictor_base_month", "condition_base_month"))).alias("training_rows"),
-        F.max("target_month").alias("last_target"), F.max("condition_base_month").alias("last_base"), F.count("*").alias("n_rows"),
-    )
-    known = latest_before(decisions.select(F.col(month).alias("month")), vintages, lag).withColumnRenamed("month", month)
-    out = rows.join(known, month).withColumn("cutoff", add_month(F.col(month), -lag - 1))
-    return out.select(
-        month, "vintage", "cutoff", "n_rows", "training_rows", (add_month(F.col("last_target"), 1) < F.col(month)).alias("targets_ended"),
-        (F.col("last_base") <= F.col("cutoff")).alias("bases_known"), F.coalesce(add_month(F.col("vintage"), lag) <= F.col(month), F.lit(False)).alias("vintage_available"),
+    first = sessions.withColumn("m", F.substring("session", 1, 7)).groupBy("m").agg(F.min_by(F.struct("session", "close_hour"), "session").alias("s"))
+    at = first.select("m", decision_time(F.col("s.session")).alias("decision_at"), closing_time(F.col("s.session"), F.col("s.close_hour")).alias("closes_at"), F.col("s.session").alias("session"))
+    rows = training_windows(decisions, month, train, lag)
+    start = at.select(F.col("m").alias("target_month"), F.col("closes_at").alias("target_start_at"))
+    end = at.select(add_month(F.col("m"), -1).alias("target_month"), F.col("closes_at").alias("target_end_at"))
+    rows = rows.join(start, "target_month", "left").join(end, "target_month", "left")
+    grouped = rows.groupBy(month).agg(
+        F.array_sort(F.collect_list(F.struct("position", "target_month", "predictor_base_month", "condition_base_month", "target_start_at", "target_end_at"))).alias("training_rows"),
+        F.max("target_end_at").alias("_ended"), F.count_if(F.col("target_end_at").isNull()).alias("_open"), F.greatest(F.max("condition_base_month"), F.max("predictor_base_month")).alias("_base"), F.count("*").alias("n_rows"),
+    )
+    known = latest_before(decisions.select(F.col(month).alias("month")), vintages, lag, fixed).withColumnRenamed("month", month)
+    own = at.select(F.col("m").alias(month), "session", "decision_at", F.col("closes_at").alias("execution_at"))
+    out = grouped.join(known, month).join(own, month, "left").join(at.select(add_month(F.col("m"), -1).alias(month), F.col("closes_at").alias("target_end_at")), month, "left")
+    available = assumed_available_at(F.col("vintage"), lag)
+    return out.withColumn("cutoff", add_month(F.col(month), -lag - 1)).select(
+        month, "session", "decision_at", "execution_at", "target_end_at", "vintage", available.alias("available_at"), "cutoff", "n_rows", "training_rows",
+        F.coalesce((F.col("_open") == 0) & (F.col("_ended") < F.col("decision_at")), F.lit(False)).alias("targets_ended"), (F.col("_base") <= F.col("cutoff")).alias("bases_known"),
+        (F.lit(None).cast("boolean") if fixed is not None else F.coalesce(available < F.col("decision_at"), F.lit(False))).alias("vintage_available"),
     )
 
 

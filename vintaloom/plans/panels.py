@@ -76,11 +76,30 @@ def vintage_catalog(s, d):
 
 
 def group_alias(s, d):
-    m = table(s, d, "macro_vintage").select("series", "macro_group").distinct()
-    known = m.filter("macro_group is not null").groupBy(F.upper("series").alias("k")).agg(F.min("macro_group").alias("g"))
-    by_stem = m.filter("macro_group is not null").groupBy(F.substring(F.upper("series"), 1, 3).alias("k2")).agg(F.min("macro_group").alias("g2"))
-    one = m.select("series").distinct().withColumns({"k": F.upper("series"), "k2": F.substring(F.upper("series"), 1, 3)})
-    return one.join(known, "k", "left").join(by_stem, "k2", "left").select("series", F.coalesce("g", "g2").cast("int").alias("grp"))
+    m = table(s, d, "macro_vintage").filter("series is not null").select("series", "macro_group").distinct()
+    groups = m.filter("macro_group is not null").groupBy("series").agg(F.min("macro_group").alias("grp"))
+    return C.group_of_series(m.select("series").distinct(), groups)
+
+
+def code_domains(s, d):
+    return C.domain_violations(table(s, d, "macro_vintage").distinct(), {"tcode": range(1, 8), "macro_group": range(1, 9)})
+
+
+def forecast_panel(s, d):
+    f = table(s, d, "forecasts").select("run_id", "decision_month", "ticker", "model").distinct()
+    return C.panel_faults(f, ["run_id", "decision_month", "ticker"], {"model": ["naive", "ridge", "bl", "mvo"]})
+
+
+def account_gaps(s, d):
+    a = table(s, d, "monthly_account").select("run_id", "strategy_id", "holding_month").distinct()
+    return C.month_gaps(a, ["run_id", "strategy_id"], "holding_month")
+
+
+def first_session_faults(s, d):
+    """Months of a ticker, from its first to its last, whose first session has no usable final price: no other date may stand in."""
+    p = latest_readings(table(s, d, "prices"))
+    final = table(s, d, "prices").groupBy("session", "ticker").agg(F.max_by(F.coalesce("finalized", F.lit(False)), F.struct("retrieved_at", "finalized")).alias("final"))
+    return C.first_session_faults(p.join(final, ["session", "ticker"]), T.first_sessions(p))
 
 
 def month_literals(s, d):
@@ -110,7 +129,9 @@ def forward_folds(s, d):
 
 def decision_ledger(s, d):
     m = table(s, d, "monthly_account").select(F.col("holding_month").alias("month")).distinct()
-    return T.decision_ledger(m, table(s, d, "macro_vintage")).drop("training_rows")
+    sessions = T.exchange_sessions(s).filter("session < '2026-01-01'")
+    ledger = T.decision_ledger(m, table(s, d, "macro_vintage"), sessions)
+    return ledger.select("month", F.col("decision_at").cast("timestamp_ntz").alias("decision_at"), "vintage", "cutoff", "n_rows", F.col("training_rows")[47]["target_month"].alias("last_target"), F.col("training_rows")[47]["condition_base_month"].alias("last_base"), "targets_ended", "bases_known", "vintage_available")
 
 
 def first_sessions(s, d):
@@ -152,35 +173,36 @@ def standardized(s, d):
     return z.select("series", "month", r8("z"))
 
 
+SERIES = range(25)  # the nations of the panel
+
+
 def macro_pivot(s, d):
-    m = V.macro_panel(s, d).filter("series < 5").withColumn("series", F.concat(F.lit("s"), F.col("series").cast("string")))
-    p = m.groupBy("month").pivot("series", [f"s{i}" for i in range(5)]).agg(F.sum("value"))
-    return p.select("month", *[F.round(f"s{i}", 4).alias(f"s{i}") for i in range(5)])
+    m = V.macro_panel(s, d).withColumn("series", F.concat(F.lit("s"), F.col("series").cast("string")))
+    p = m.groupBy("month").pivot("series", [f"s{i}" for i in SERIES]).agg(F.sum("value"))
+    return p.select("month", *[F.round(f"s{i}", 4).alias(f"s{i}") for i in SERIES])
 
 
 def macro_unpivot(s, d):
     p = macro_pivot(s, d)
-    return p.unpivot(["month"], [f"s{i}" for i in range(5)], "series", "value").filter("value is not null")
+    return p.unpivot(["month"], [f"s{i}" for i in SERIES], "series", "value").filter("value is not null")
 
 
 def overlay_updates(s, d):
+    """All vintages laid over each other in order: the last one that holds an observation counts."""
     m = table(s, d, "macro_vintage").filter("series is not null").select("vintage_month", "base_month", "series", "value").distinct()
-    ends = m.agg(F.min("vintage_month").alias("a"), F.max("vintage_month").alias("b"))
-    j = m.join(F.broadcast(ends), how="cross")
-    cols = ["base_month", "series", "value", "vintage_month"]
-    out = C.overlay(j.filter("vintage_month = a").select(*cols), j.filter("vintage_month = b").select(*cols), ["base_month", "series"])
-    return out.select("base_month", "series", "vintage_month")
+    return C.overlay_all(m, ["base_month", "series"], "vintage_month").select("base_month", "series", "vintage_month")
 
 
 def common_months(s, d):
-    a = table(s, d, "monthly_account").select("run_id", "holding_month").distinct()
-    n = a.select("run_id").distinct().agg(F.count("*").alias("runs"))
-    return a.groupBy("holding_month").agg(F.count("*").alias("c")).join(n, how="cross").filter("c * 2 >= runs").select("holding_month")
+    """Months that every strategy of a run holds: the intersection over all its variants."""
+    a = table(s, d, "monthly_account").select("run_id", "strategy_id", "holding_month").distinct()
+    return C.common_to_all(a, ["run_id"], "strategy_id", "holding_month")
 
 
 def panel_except(s, d):
+    """Cells of the panel that hold no value against cells of its complete spine."""
     m = V.macro_panel(s, d).select("month", "series")
-    return C.differences(m.filter("series < 12").select("month"), m.filter("series >= 13").select("month"))
+    return C.differences(T.spine(m, ["series"], "month").select("month", "series"), m)
 
 
 def strategy_pivot(s, d):
@@ -192,12 +214,14 @@ def strategy_pivot(s, d):
 QUERIES = {f.__name__: f for f in (
     monthly_returns, price_violations, price_coverage, key_violations, checked_join, panel_gaps, null_reasons, vintage_catalog, group_alias, month_literals, calendar_spine, asof_vintage,
     training_windows, forward_folds, decision_ledger, first_sessions, holding_days, availability_times, tcode_transforms, bounded_ffill_median, imputation_counts, selection_reasons,
-    standardized, macro_pivot, macro_unpivot, overlay_updates, common_months, panel_except, strategy_pivot,
+    standardized, code_domains, forecast_panel, account_gaps, first_session_faults, macro_pivot, macro_unpivot, overlay_updates, common_months, panel_except, strategy_pivot,
 )}
 
+# weekday holidays near a month's first session decide the instants: all of them, as dates
+_HOLIDAYS = sorted(str(x) for y in range(1990, 2026) for x in T.exchange_holidays(y))
 _DM = "dm as (select distinct holding_month as month from monthly_account)"
 _FIN = lambda c: f"({c} is not null and not isnan({c}) and not isinf({c}) and {c} > 0)"
-_PIVOT = f"with {MACRO} select month, " + ", ".join(f"round(sum(value) filter (series = {i}), 4) as s{i}" for i in range(5)) + " from macro where series < 5 group by month"
+_PIVOT = f"with {MACRO} select month, " + ", ".join(f"round(sum(value) filter (series = {i}), 4) as s{i}" for i in SERIES) + " from macro group by month"
 SQL = {
     "monthly_returns": f"""with {LATEST}, ok as (select * from lp where adj_close > 0), fs as (select substr(session, 1, 7) as month, min(session) as session from ok group by 1),
   p as (select month, ticker, adj_close from ok join fs using (session)),
@@ -214,16 +238,25 @@ select month, ticker, round(na / adj_close - 1, 8) as r from n where {MI('nm')}
     "panel_gaps": f"with {MACRO} select month, series from (select distinct month from macro), (select distinct series from macro) except select month, series from macro",
     "null_reasons": "select vintage_month, count(*) filter (value is null) as nulls, count(*) filter (value is null and trim(coalesce(value_reason, '')) = '') as unexplained from (select distinct * from macro_vintage) group by 1",
     "vintage_catalog": "select series, min(vintage_month) as first_vintage, max(vintage_month) as last_vintage, count(distinct vintage_month) as n_vintages, max(macro_group)::int as macro_group from macro_vintage group by series",
-    "group_alias": """with a as (select upper(series) k, min(macro_group) g from macro_vintage where macro_group is not null group by 1), b as (select substr(upper(series), 1, 3) k2, min(macro_group) g2 from macro_vintage where macro_group is not null group by 1)
-select s.series, coalesce(g, g2)::int as grp from (select distinct series from macro_vintage) s left join a on a.k = upper(s.series) left join b on b.k2 = substr(upper(s.series), 1, 3)""",
+    "group_alias": f"""with al(old, new) as (values {', '.join(f"('{a}', '{b}')" for a, b in C.ALIASES.items())}), g as (select upper(series) as k, min(macro_group) as grp from macro_vintage where macro_group is not null and series is not null group by 1)
+select s.series, coalesce(al.new, s.series) as reference, g.grp::int as grp, al.new is not null as alias from (select distinct series from macro_vintage where series is not null) s left join al on al.old = s.series left join g on g.k = upper(coalesce(al.new, s.series))""",
     "month_literals": f"""with m as (select distinct decision_month, coalesce(regexp_matches(decision_month, '^\\d{{4}}-(0[1-9]|1[0-2])$'), false) as ok from lambda_selection)
 select decision_month, ok, case when ok then {MI('decision_month')} end as mi, case when ok then {IM(MI('decision_month') + ' - 14')} end as back14 from m""",
     "calendar_spine": f"with {MACRO}, {SPINE} select series, month, round(value, 4) as value from full_m",
     "asof_vintage": f"with {_DM}, v as (select distinct vintage_month from macro_vintage) select month, (select max(vintage_month) from v where {MI('vintage_month')} <= {MI('month')} - 2) as vintage from dm",
     "training_windows": f"with {_DM}, t as (select month, {MI('month')} + o as i, o + 49 as position from dm, (select unnest(generate_series(-49, -2)) as o)) select month, position::int as position, {IM('i')} as target_month, {IM('i - 3')} as predictor_base_month, {IM('i - 2')} as condition_base_month from t",
-    "forward_folds": f"with {_DM}, t as (select month, {MI('month')} - 49 as a, k as fold, k + 23 as n from dm, (select unnest(generate_series(0, 24)) as k)) select month, fold::int as fold, n::int as rows, {IM('a')} as first_target, {IM('a + n - 1')} as last_target, {IM('a + n + 1')} as validation_month from t",
-    "decision_ledger": f"""with {_DM}, v as (select distinct vintage_month from macro_vintage), k as (select month, {MI('month')} as i, (select max(vintage_month) from v where {MI('vintage_month')} <= {MI('month')} - 2) as vintage from dm)
-select month, vintage, {IM('i - 3')} as cutoff, 48::bigint as n_rows, true as targets_ended, i - 4 <= i - 3 as bases_known, coalesce({MI('vintage')} + 2 <= i, false) as vintage_available from k""",
+    "forward_folds": f"with {_DM}, t as (select month, {MI('month')} - 49 as a, k as fold, k + 23 as n from dm, (select unnest(generate_series(0, 23)) as k)) select month, fold::int as fold, n::int as rows, {IM('a')} as first_target, {IM('a + n - 1')} as last_target, {IM('a + n + 1')} as validation_month from t",
+    "decision_ledger": f"""with {_DM}, v as (select distinct vintage_month from macro_vintage),
+  hol as (select unnest([{', '.join("'" + h + "'::date" for h in _HOLIDAYS)}]) as d),
+  days as (select d::date as d from (select unnest(generate_series(date '1990-01-01', date '2025-12-31', interval 1 day)) as d) where dayofweek(d) between 1 and 5 and d::date not in (select d from hol)),
+  fs as (select strftime(d, '%Y-%m') as m, min(d) as d from days group by 1),
+  ut as (select m, {MI('m')} as i, ((d || ' 09:00:00')::timestamp at time zone 'America/New_York') at time zone 'UTC' as opens, ((d || ' 16:00:00')::timestamp at time zone 'America/New_York') at time zone 'UTC' as closes from fs),
+  k as (select month, {MI('month')} as i, (select max(vintage_month) from v where {MI('vintage_month')} <= {MI('month')} - 2) as vintage from dm),
+  t as (select k.month, k.i + o as s, u.closes as ends from k, (select unnest(generate_series(-49, -2)) as o) left join ut u on u.i = k.i + o + 1),
+  g as (select month, count(*) as n_rows, max(s) as last_s, max(ends) as ended, count(*) filter (ends is null) as missing from t group by month)
+select k.month, u.opens as decision_at, vintage, {IM('k.i - 3')} as cutoff, n_rows, {IM('last_s')} as last_target, {IM('last_s - 2')} as last_base, coalesce(missing = 0 and ended < u.opens, false) as targets_ended, last_s - 2 <= k.i - 3 as bases_known,
+  coalesce((({IM(MI('vintage') + ' + 2')} || '-01 00:00:00')::timestamp at time zone 'America/New_York') at time zone 'UTC' < u.opens, false) as vintage_available
+from k join g using (month) left join ut u on u.m = k.month""",
     "first_sessions": "select substr(session, 1, 7) as month, min(session) as session from prices group by 1",
     "holding_days": "select run_id, holding_month, strategy_id, date_diff('day', (execution_at at time zone 'UTC' at time zone 'America/New_York')::date, (target_end at time zone 'UTC' at time zone 'America/New_York')::date)::int as days from (select distinct * from monthly_account)",
     "availability_times": f"with v as (select distinct vintage_month from macro_vintage) select vintage_month, (({IM(MI('vintage_month') + ' + 2')} || '-01 00:00:00')::timestamp at time zone 'America/New_York') at time zone 'UTC' as available_at from v",
@@ -239,10 +272,22 @@ select series, observed, round(mr, 8)::double as missing_rate, array_to_string(l
   not (g = 6 or observed = 0 or (observed > 0 and dif = 1) or mr > 0.2) as selected from t""",
     "standardized": f"with {MACRO} select series, month, round((value - avg(value) over (partition by series)) / nullif(stddev_pop(value) over (partition by series), 0), 8) as z from macro",
     "macro_pivot": _PIVOT,
-    "macro_unpivot": f"select month, series, value from ({_PIVOT}) unpivot (value for series in (s0, s1, s2, s3, s4))",
-    "overlay_updates": """with m as (select distinct vintage_month, base_month, series, value from macro_vintage where series is not null), a as (select * from m where vintage_month = (select min(vintage_month) from m)), b as (select * from m where vintage_month = (select max(vintage_month) from m))
-select base_month, series, vintage_month from b union all select base_month, series, vintage_month from a where not exists (select 1 from b where b.base_month = a.base_month and b.series = a.series)""",
-    "common_months": "with a as (select distinct run_id, holding_month from monthly_account) select holding_month from a group by 1 having count(*) * 2 >= (select count(distinct run_id) from a)",
-    "panel_except": f"with {MACRO}, a as (select month from macro where series < 12), b as (select month from macro where series >= 13) select month, 'left' as side from (select * from a except all select * from b) union all select month, 'right' from (select * from b except all select * from a)",
+    "macro_unpivot": f"select month, series, value from ({_PIVOT}) unpivot (value for series in ({', '.join(f's{i}' for i in SERIES)}))",
+    "overlay_updates": "select base_month, series, max(vintage_month) as vintage_month from macro_vintage where series is not null group by all",
+    "common_months": """with a as (select distinct run_id, strategy_id, holding_month from monthly_account)
+select run_id, holding_month from a r where not exists (select 1 from a v where v.run_id = r.run_id and not exists (select 1 from a x where x.run_id = v.run_id and x.strategy_id = v.strategy_id and x.holding_month = r.holding_month)) group by all""",
+    "panel_except": f"with {MACRO}, {SPINE} select month, series, 'left' as side from full_m where value is null",
+    "code_domains": """with m as (select distinct * from macro_vintage), x as (select 'tcode' as col, tcode::varchar as value, coalesce(tcode between 1 and 7, false) as ok from m union all select 'macro_group', macro_group::varchar, coalesce(macro_group between 1 and 8, false) from m)
+select col as "column", value, count(*) as n_rows from x where not ok group by all""",
+    "forecast_panel": """with f as (select distinct run_id, decision_month, ticker, model from forecasts), k as (select distinct run_id, decision_month, ticker from f), w as (select k.*, model from k, (select unnest(['naive', 'ridge', 'bl', 'mvo']) as model))
+select w.*, 'missing' as fault from w where not exists (select 1 from f where f.run_id is not distinct from w.run_id and f.decision_month is not distinct from w.decision_month and f.ticker is not distinct from w.ticker and f.model = w.model)
+union all select f.run_id, f.decision_month, f.ticker, f.model, 'unexpected' from f where model is null or model not in ('naive', 'ridge', 'bl', 'mvo')""",
+    "account_gaps": f"""with a as (select distinct run_id, strategy_id, holding_month from monthly_account), g as (select *, lag(holding_month) over w as previous, {MI('holding_month')} - lag({MI('holding_month')}) over w as gap from a window w as (partition by run_id, strategy_id order by holding_month))
+select run_id, strategy_id, holding_month, previous, gap::int as gap from g where gap <> 1""",
+    "first_session_faults": f"""with l as (select session, ticker, arg_max(adj_close, retrieved_at) as px, arg_max(coalesce(finalized, false), (retrieved_at, finalized)) as final from prices group by all),
+  fs as (select substr(session, 1, 7) as month, min(session) as session from prices group by 1), e as (select ticker, min(session) as a, max(session) as b from l group by 1),
+  w as (select ticker, month, session from e join fs on fs.session >= substr(e.a, 1, 7) and fs.session <= e.b)
+select w.ticker, w.month, case when l.session is null then case when w.session < e.a then 'partial_listing_month' else 'first_session_missing' end when not final then 'not_final' else 'bad_price' end as fault
+from w join e using (ticker) left join l using (session, ticker) where l.session is null or not final or px is null or isnan(px) or isinf(px) or px <= 0""",
     "strategy_pivot": "with a as (select distinct run_id, holding_month, strategy_id, net_return, split_part(strategy_id, '_', 1) as m from monthly_account) select holding_month, " + ", ".join(f"round(avg(net_return) filter (m = '{m}'), 8) as {m}" for m in ("naive", "ridge", "bl", "mvo")) + " from a group by 1",
 }
