@@ -10,7 +10,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 
 def principal_components(x: np.ndarray, threshold: float = 0.95) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,3 +221,24 @@ def ridge_line(pairs: DataFrame, by: str, lam: float) -> DataFrame:
     hat = 1 / F.col("n") + F.try_divide(F.pow(F.col("x") - F.col("mx"), 2), F.col("n") * F.col("vx") + lam)
     e = F.try_divide(F.col("y") - F.col("intercept") - F.col("slope") * F.col("x"), 1 - hat)
     return j.groupBy(by, "n", "slope", "intercept").agg(F.avg(F.pow(e, 2)).alias("loo_mse"))
+
+
+def lambda_grid(low: float = 1e-4, high: float = 1e4, n: int = 41) -> tuple[float, ...]:
+    """Penalties evenly spaced in their logarithm."""
+    return tuple(float(v) for v in np.logspace(np.log10(low), np.log10(high), n))
+
+
+def ridge_line_grid(pairs: DataFrame, by: str, lambdas: tuple[float, ...]) -> DataFrame:
+    """(by, lam, loo_mse) of one-variable ridge regression for every penalty, from one pass of moments and one of errors."""
+    g = pairs.groupBy(by).agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.covar_pop("x", "y").alias("cxy"), F.var_pop("x").alias("vx"))
+    j = pairs.join(g, by).withColumn("lam", F.explode(F.array(*[F.lit(v) for v in lambdas])))
+    den = F.col("n") * F.col("vx") + F.col("lam")
+    away = F.col("x") - F.col("mx")
+    e = (F.col("y") - F.col("my") - F.col("n") * F.col("cxy") / den * away) / (1 - 1 / F.col("n") - F.pow(away, 2) / den)
+    return j.groupBy(by, "lam").agg(F.avg(F.pow(e, 2)).alias("loo_mse"))
+
+
+def least_error(tried: DataFrame, by: list[str], lam: str, error: str, rtol: float = 1e-12) -> DataFrame:
+    """(by, lam): the penalty of least error; of errors within rtol of it, the greatest penalty. NULL errors can't be chosen."""
+    least = F.min(error).over(W.partitionBy(*by))
+    return tried.withColumn("_m", least).filter(F.col(error) <= F.col("_m") * (1 + rtol)).groupBy(*by).agg(F.max(lam).alias(lam))

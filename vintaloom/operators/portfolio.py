@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.months import add_month
+from ..functions.months import add_month, index_month, month_index
 
 
 def conditional_sharpe(returns: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -27,8 +27,8 @@ def covariance(returns: DataFrame, shrink: float = 0.0, eps: float = 0.0) -> Dat
 
 
 def trailing_scores(returns: DataFrame, back: int = 12, gap: int = 2) -> DataFrame:
-    """(month, ticker, score): mean over deviation of the `back` returns that end `gap` months before; NULL until there are that many."""
-    w = W.partitionBy("ticker").orderBy("month").rowsBetween(-gap - back + 1, -gap)
+    """(month, ticker, score): mean over deviation of the `back` months' returns that end `gap` months before; none unless all are there."""
+    w = W.partitionBy("ticker").orderBy(month_index(F.col("month"))).rangeBetween(-gap - back + 1, -gap)
     return returns.select("month", "ticker", F.when(F.count("r").over(w) == back, F.try_divide(F.avg("r").over(w), F.stddev_samp("r").over(w))).alias("score")).filter("score is not null")
 
 

@@ -13,18 +13,20 @@ from ..sources import views as V
 from ..sources.tables import table
 from .panels import IM, MACRO, MI, RET, r8
 
-LAB = f"lab as (select month, (({MI('month')} * 7 + {MI('month')} // 5) % 6)::int as label from (select distinct month from ret))"
+LAB_OF = lambda k: f"lab as (select month, (({MI('month')} * 7 + {MI('month')} // 5) % {k})::int as label from (select distinct month from ret))"
+LAB = LAB_OF(6)
 CEN = """e as (select vec_id as id, embedding::double[] as x, label from embeddings), nz as (select id, label, list_transform(x, lambda v: v / sqrt(list_sum(list_transform(x, lambda t: t * t)))) as u from e),
   comp as (select label, i, avg(u[i]) as m from nz, (select unnest(generate_series(1, 64)) as i) group by all), cen0 as (select label, list(m order by i) as c from comp group by label),
   cen as (select label, list_transform(c, lambda v: v / sqrt(list_sum(list_transform(c, lambda t: t * t)))) as center from cen0),
   dist as (select nz.id, cen.label, greatest(0, least(2, 1 - list_dot_product(nz.u, cen.center))) as distance from nz, cen)"""
 SOFT = CEN + ", soft as (select id, label, (1 - distance / sum(distance) over (partition by id)) / (count(*) over (partition by id) - 1) as p from dist)"
-TRANS = f"""{RET}, {LAB}, st as (select label as src, lead(label) over (order by month) as dst, lead({MI('month')}) over (order by month) - {MI('month')} as gap from lab),
+TRANS_OF = lambda k: f"""{RET}, {LAB_OF(k)}, st as (select label as src, lead(label) over (order by month) as dst, lead({MI('month')}) over (order by month) - {MI('month')} as gap from lab),
   cnt as (select src, dst, count(*) as n from st where gap = 1 group by all), occ as (select label as src, count(*) as o from lab group by 1),
-  grid as (select a as src, b as dst from (select unnest(generate_series(0, 5)) as a), (select unnest(generate_series(0, 5)) as b)),
+  grid as (select a as src, b as dst from (select unnest(generate_series(0, {k - 1})) as a), (select unnest(generate_series(0, {k - 1})) as b)),
   tm as (select src::int as src, dst::int as dst, coalesce(n, 0) as n, coalesce(o, 0) as o, sum(coalesce(n, 0)) over (partition by src) as outn from grid left join cnt using (src, dst) left join occ using (src)),
-  mat as (select src, dst, n, case when outn = 0 then (src = dst)::int::double else n / outn end as p, coalesce(n / nullif(o, 0), 0)::double as p_literal, (select count(*) from st where gap <> 1) as skipped from tm)"""
-SCORES = RET + """, tw as (select month, ticker, avg(r) over w as m, stddev_samp(r) over w as s, count(r) over w as c from ret window w as (partition by ticker order by month rows between 13 preceding and 2 preceding)),
+  mat as (select src, dst, n, case when outn = 0 then (src = dst)::int::double else n / outn end as p, coalesce(n / nullif(o, 0), 0)::double as p_literal, (select count(*) from st where gap <> 1) as skipped from tm)"""
+TRANS = TRANS_OF(6)
+SCORES = RET + f""", tw as (select month, ticker, avg(r) over w as m, stddev_samp(r) over w as s, count(r) over w as c from ret window w as (partition by ticker order by {MI('month')} range between 13 preceding and 2 preceding)),
   sc as (select month, ticker, m / nullif(s, 0) as score from tw where c = 12)"""
 LO2 = SCORES + """, rk as (select *, row_number() over (partition by month order by score desc, ticker) as rn from sc where score > 0), lo2 as (select month, ticker, score / sum(score) over (partition by month) as weight from rk where rn <= 2)"""
 
@@ -35,8 +37,7 @@ def _dist(s, d):
 
 
 def _returns(s, d):
-    """The returns of the months that the SQL states."""
-    return V.asset_returns(s, d, *V.SQL_MONTHS)
+    return V.asset_returns(s, d)
 
 
 def _matrix(s, d):
@@ -63,7 +64,8 @@ def soft_memberships(s, d):
 def combined_probabilities(s, d):
     g = _dist(s, d).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("label", "distance"))).getField("distance").alias("d"))
     p0 = distance_probabilities(F.slice("d", 1, 2)).getItem(0)
-    return g.select("id", F.posexplode(combine_probabilities(p0, distance_probabilities(F.slice("d", 3, 5)))).alias("k", "p")).select("id", "k", r8("p"))
+    rest = F.slice("d", F.lit(3), F.size("d") - 2)
+    return g.select("id", F.posexplode(combine_probabilities(p0, distance_probabilities(rest))).alias("k", "p")).select("id", "k", r8("p"))
 
 
 def transition_matrix(s, d):
@@ -75,8 +77,8 @@ def conditional_departures(s, d):
 
 
 def next_probabilities(s, d):
-    now = R.soft_memberships(_dist(s, d).filter("label < 6"))
-    return R.next_probabilities(now, _matrix(s, d)).select("id", "label", r8("p"))
+    now = R.soft_memberships(_dist(s, d))
+    return R.next_probabilities(now, R.transitions(V.regimes(_returns(s, d), 10), 10)).select("id", "label", r8("p"))
 
 
 def modal_regime(s, d):
@@ -199,23 +201,31 @@ def verify_ledger(s, d):
     return P.verify_ledger(table(s, d, "monthly_account").distinct(), ["run_id", "strategy_id"], "holding_month", atol=1e-5)
 
 
-def _indexed(s, d):
-    r = _returns(s, d)
-    return r.select("ticker", (month_index(F.col("month")) - month_index(F.lit(V.FIRST))).cast("long").alias("idx"), F.col("r").alias("x"))
+def _indexed(r):
+    """(ticker, idx, x): returns by the number of their month among the months of the panel, and how many months there are."""
+    months = r.select("month").distinct()
+    idx = months.withColumn("idx", (F.row_number().over(W.orderBy("month")) - 1).cast("long"))  # bounded by the calendar
+    return r.join(idx, "month").select("ticker", "idx", F.col("r").alias("x")), months.count()
+
+
+DRAWS = 1000
 
 
 def block_indices(s, d):
-    return S.block_indices(s, 77, 12, 50)
+    return S.block_indices(s, _indexed(_returns(s, d))[1], 12, DRAWS)
+
+
+def _draws(s, d):
+    x, months = _indexed(_returns(s, d))
+    return S.resampled_metrics(S.block_indices(s, months, 12, DRAWS), x, ["ticker"])
 
 
 def bootstrap_metrics(s, d):
-    m = S.resampled_metrics(S.block_indices(s, 77, 12, 20), _indexed(s, d), ["ticker"])
-    return m.select("ticker", "draw", *[F.round(c, 6).alias(c) for c in ("sharpe", "sortino", "maxdd", "positive_ratio")])
+    return _draws(s, d).select("ticker", "draw", *[F.round(c, 6).alias(c) for c in ("sharpe", "sortino", "maxdd", "positive_ratio")])
 
 
 def bootstrap_intervals(s, d):
-    m = S.resampled_metrics(S.block_indices(s, 77, 12, 100), _indexed(s, d), ["ticker"])
-    return S.interval(m, ["ticker"], "sharpe").select("ticker", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "valid", "excluded")
+    return S.interval(_draws(s, d), ["ticker"], "sharpe").select("ticker", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "valid", "excluded")
 
 
 def _pairs(s, d):
@@ -248,12 +258,8 @@ def ridge_line(s, d):
 
 def lambda_choice(s, d):
     x = _pairs(s, d).select("ticker", F.col("b").alias("x"), F.col("a").alias("y"))
-    tried = None
-    for lam in (0.01, 0.1, 1.0, 10.0):
-        one = N.ridge_line(x, "ticker", lam).select("ticker", F.lit(lam).alias("lam"), "loo_mse")
-        tried = one if tried is None else tried.unionByName(one)
-    least = F.min("loo_mse").over(W.partitionBy("ticker"))
-    return tried.withColumn("m", least).filter(F.col("loo_mse") <= F.col("m") * (1 + 1e-12)).groupBy("ticker").agg(F.max("lam").alias("lam"))
+    tried = N.ridge_line_grid(x, "ticker", N.lambda_grid())
+    return N.least_error(tried, ["ticker"], "lam", "loo_mse").select("ticker", r8("lam"))
 
 
 def _windows(s, d, train=48):
@@ -307,11 +313,12 @@ _LEDGER = LO2 + """, held as (select sc.month, sc.ticker, coalesce(weight, 0) as
   wl as (select *, product(1 + net) over (order by month rows unbounded preceding) as wealth from led), dd as (select *, wealth / greatest(1, max(wealth) over (order by month rows unbounded preceding)) - 1 as drawdown from wl)"""
 _PAIRS = RET + ", pr as (select a.ticker, a.month, a.r as a, b.r as b from ret a join ret b on a.month = b.month and b.ticker = '1F' where a.ticker <> '1F')"
 _PSTAT = _PAIRS + ", ps as (select ticker, count(*) as n, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) as t, avg(case when a > b then 1.0 when a < b then 2.0 else 1.5 end) as ra from pr group by 1)"
-_BLOCKS = lambda draws: f"""st as (select draw, b, ('0x' || substr(md5('0-' || draw || '-' || b), 1, 8))::bigint % 77 as s from (select unnest(generate_series(0, {draws - 1})) as draw), (select unnest(generate_series(0, 6)) as b)),
-  bi as (select draw, b * 12 + k as position, (s + k) % 77 as idx from st, (select unnest(generate_series(0, 11)) as k) where b * 12 + k < 77)"""
-_BOOT = lambda draws: f"""with {RET}, {_BLOCKS(draws)}, ix as (select ticker, {MI('month')} - {MI("'1995-02'")} as idx, r as x from ret), j as (select ticker, draw, position, x from bi join ix using (idx)),
+_BLOCKS = f"""im as (select month, row_number() over (order by month) - 1 as idx from (select distinct month from ret)), nm as (select count(*) as n from im),
+  st as (select draw, b, ('0x' || substr(md5('0-' || draw || '-' || b), 1, 8))::bigint % n as s, n from nm, (select unnest(generate_series(0, {DRAWS - 1})) as draw), lateral (select unnest(generate_series(0, (n - 1) // 12)) as b)),
+  bi as (select draw, b * 12 + k as position, (s + k) % n as idx from st, (select unnest(generate_series(0, 11)) as k) where b * 12 + k < n)"""
+_BOOT = f"""with {RET}, {_BLOCKS}, ix as (select ticker, idx, r as x from ret join im using (month)), j as (select ticker, draw, position, x from bi join ix using (idx)),
   w as (select *, product(1 + x) over (partition by ticker, draw order by position rows unbounded preceding) as w from j), e as (select *, w / greatest(1, max(w) over (partition by ticker, draw order by position rows unbounded preceding)) - 1 as dd from w),
-  bm as (select ticker, draw, avg(x) / nullif(stddev_samp(x), 0) * sqrt(12) as sharpe, avg(x) / nullif(sqrt(avg(pow(least(x, 0), 2))), 0) * sqrt(12) as sortino, min(dd) as maxdd, avg((x > 0)::int) as positive_ratio from e group by all)"""
+  bm as (select ticker, draw, avg(x) / nullif(stddev_samp(x), 0) * sqrt(12) as sharpe, avg(x) / nullif(sqrt(avg(pow(least(x, 0), 2))), 0) * sqrt(12) as sortino, min(dd) as maxdd, avg((x > 0)::int) as positive_ratio from e group by all)"""
 _METRICS = lambda net: f"""exp(ln(arg_max(wealth, month)) * 12 / count(*)) - 1 as cagr, case when count(*) >= 2 then stddev_samp({net}) * sqrt(12) end as ann_vol, case when count(*) >= 2 then avg({net}) / nullif(stddev_samp({net}), 0) * sqrt(12) end as sharpe,
   case when count(*) >= 2 then avg({net}) / nullif(sqrt(avg(pow(least({net}, 0), 2))), 0) * sqrt(12) end as sortino, min(drawdown) as maxdd, coalesce(avg(drawdown) filter (drawdown < 0), 0) as avgdd, avg(drawdown) as avgdd_all_months, avg(({net} > 0)::int) as positive_ratio, avg(turnover) as mean_turnover"""
 _ACC = """ac as (select distinct run_id, strategy_id, holding_month as month, gross_return, transaction_cost, borrow_cost, financing_cost, cash_return, net_return, turnover, wealth as sw, drawdown as sd from monthly_account),
@@ -325,11 +332,11 @@ SQL = {
     "cosine_distances": f"with {CEN} select id, label, round(distance, 8) as distance from dist",
     "nearest_center": f"with {CEN} select id, arg_min(label, (distance, label)) as label, round(min(distance), 6) as distance from dist group by id",
     "soft_memberships": f"with {SOFT} select id, label, round(p, 8) as p from soft",
-    "combined_probabilities": f"""with {CEN}, l as (select id, list(distance order by label) as d from dist group by id), q as (select id, 1 - d[1] / (d[1] + d[2]) as p0, list_transform(d[3:7], lambda v: (1 - v / list_sum(d[3:7])) / 4) as nn from l),
-  m as (select id, list_concat([-list_max(nn) * log2(1 - p0)], nn) as v from q) select id, unnest(generate_series(0, 5))::int as k, round(unnest(list_transform(v, lambda t: t / list_sum(v))), 8) as p from m""",
+    "combined_probabilities": f"""with {CEN}, l as (select id, list(distance order by label) as d from dist group by id), q as (select id, 1 - d[1] / (d[1] + d[2]) as p0, list_transform(d[3:], lambda v: (1 - v / list_sum(d[3:])) / (len(d) - 3)) as nn from l),
+  m as (select id, list_concat([-list_max(nn) * log2(1 - p0)], nn) as v from q) select id, unnest(generate_series(0, len(v) - 1))::int as k, round(unnest(list_transform(v, lambda t: t / list_sum(v))), 8) as p from m""",
     "transition_matrix": f"with {TRANS} select src, dst, n, round(p, 8) as p, round(p_literal, 8) as p_literal, skipped from mat",
     "conditional_departures": f"with {TRANS}, sy as (select src, max(p) filter (src = dst) as stay from mat group by src) select src, dst, round(case when src = dst or stay >= 1 then 0 else p / nullif(1 - stay, 0) end, 8) as p, stay >= 1 as absorbing from mat join sy using (src)",
-    "next_probabilities": f"with {CEN}, {TRANS}, d6 as (select * from dist where label < 6), sf as (select id, label, (1 - distance / sum(distance) over (partition by id)) / 5 as p from d6), q as (select id, dst as label, sum(sf.p * mat.p) as q from sf join mat on sf.label = mat.src group by all) select id, label, round(q / sum(q) over (partition by id), 8) as p from q",
+    "next_probabilities": f"with {SOFT}, {TRANS_OF(10)}, q as (select id, dst as label, sum(soft.p * mat.p) as q from soft join mat on soft.label = mat.src group by all) select id, label, round(q / sum(q) over (partition by id), 8) as p from q",
     "modal_regime": f"with {SOFT} select id, arg_min(label, (-round(p, 9), label)) as label from soft group by id",
     "center_order": f"with {CEN} select label, (row_number() over (order by center) - 1)::int as number from cen",
     "indicator_means": f"with {_IND} select series, label, round(mean, 7) as mean, n from im",
@@ -363,12 +370,12 @@ select 'ew' as strategy, month, round(turnover, 8) as turnover, round(gross, 8)
     + ", ".join(f"round({c}, 6) as {c}" for c in ("cagr", "ann_vol", "sharpe", "sortino", "maxdd", "avgdd", "avgdd_all_months", "positive_ratio", "mean_turnover", "total_cost")) + " from p",
     "verify_ledger": f"""with {_ACC} select run_id, strategy_id, count(*) as n_rows, count(*) filter (coalesce(abs(gross_return + cash_return - transaction_cost - borrow_cost - financing_cost - net_return) > 1e-5 + 1e-8 * abs(net_return), true)) as net_off,
   count(*) filter (coalesce(abs(wealth - sw) > 1e-5 + 1e-8 * abs(sw), true)) as wealth_off, count(*) filter (coalesce(abs(drawdown - sd) > 1e-5 + 1e-8 * abs(sd), true)) as drawdown_off from ad group by all""",
-    "block_indices": f"with {_BLOCKS(50)} select draw, position::int as position, idx from bi",
-    "bootstrap_metrics": _BOOT(20) + " select ticker, draw, round(sharpe, 6) as sharpe, round(sortino, 6) as sortino, round(maxdd, 6) as maxdd, round(positive_ratio, 6) as positive_ratio from bm",
-    "bootstrap_intervals": _BOOT(100) + " select ticker, round(quantile_cont(sharpe, 0.025), 6) as low, round(quantile_cont(sharpe, 0.975), 6) as high, count(sharpe) as valid, count(*) - count(sharpe) as excluded from bm group by ticker",
+    "block_indices": f"with {RET}, {_BLOCKS} select draw, position::int as position, idx from bi",
+    "bootstrap_metrics": _BOOT + " select ticker, draw, round(sharpe, 6) as sharpe, round(sortino, 6) as sortino, round(maxdd, 6) as maxdd, round(positive_ratio, 6) as positive_ratio from bm",
+    "bootstrap_intervals": _BOOT + " select ticker, round(quantile_cont(sharpe, 0.025), 6) as low, round(quantile_cont(sharpe, 0.975), 6) as high, count(sharpe) as valid, count(*) - count(sharpe) as excluded from bm group by ticker",
     "paired_statistics": f"with {_PSTAT} select ticker, n, round(t, 6) as t, round(ra, 8)::double as mean_rank_a, round(abs(3 - 2 * ra) / sqrt(1.0 / n), 6) as z, null::varchar as reason from ps",
     "holm_adjusted": f"""with {_PSTAT}, p as (select ticker, round(1 / (1 + exp(1.702 * t)), 9) as p from ps), s as (select *, p * (count(*) over () - row_number() over (order by p, ticker) + 1) as s from p)
 select ticker, p, round(least(1, max(s) over (order by p, ticker rows unbounded preceding)), 8) as p_holm from s""",
     "ridge_line": f"with {_PAIRS} select ticker, n, round(slope, 8) as slope, round(intercept, 8) as intercept, round(loo_mse, 8) as loo_mse from {_RIDGE(0.5)}",
-    "lambda_choice": f"with {_PAIRS}, t as (" + " union all ".join(f"select ticker, {lam}::double as lam, loo_mse from {_RIDGE(lam)}" for lam in (0.01, 0.1, 1.0, 10.0)) + "), m as (select *, min(loo_mse) over (partition by ticker) as least_mse from t) select ticker, max(lam) as lam from m where loo_mse <= least_mse * (1 + 1e-12) group by ticker",
+    "lambda_choice": f"with {_PAIRS}, grid as (select pow(10, -4 + i * 0.2) as lam from (select unnest(generate_series(0, 40)) as i)), g as (select ticker, count(*) n, avg(b) mx, avg(a) my, covar_pop(b, a) * count(*) as sxy, var_pop(b) * count(*) as sxx from pr group by 1), t as (select ticker, lam, avg(pow((a - my - sxy / (sxx + lam) * (b - mx)) / (1 - 1.0 / n - pow(b - mx, 2) / (sxx + lam)), 2)) as loo_mse from pr join g using (ticker), grid group by all), m as (select *, min(loo_mse) over (partition by ticker) as least_mse from t) select ticker, round(max(lam), 8) as lam from m where loo_mse <= least_mse * (1 + 1e-12) group by ticker",
 }

@@ -11,8 +11,7 @@ from ..sources import views as V
 from ..sources.tables import table
 
 PX = """px as (select strftime(l_shipdate, '%Y-%m') as month, substr(o_orderpriority, 1, 1) || l_linestatus as ticker, sum(l_extendedprice) / sum(l_quantity) as px
-  from lineitem join orders on l_orderkey = o_orderkey where strftime(l_shipdate, '%Y-%m') between '1995-02' and '2001-07' group by all)"""
-RET = PX + """, ret as (select * from (select month, ticker, lead(px) over (partition by ticker order by month) / px - 1 as r from px) where r is not null)"""
+  from lineitem join orders on l_orderkey = o_orderkey group by all)"""
 MACRO = """macro as (select strftime(o_orderdate, '%Y-%m') as month, c_nationkey as series, sum(o_totalprice) as value, c_nationkey % 7 + 1 as tcode, n_regionkey + 2 as grp
   from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all)"""
 
@@ -25,6 +24,7 @@ def IM(e: str) -> str:
     return f"printf('%04d-%02d', (({e}) // 12)::int, (({e}) % 12 + 1)::int)"
 
 
+RET = PX + f""", ret as (select month, ticker, r from (select month, ticker, case when lead({MI('month')}) over w = {MI('month')} + 1 then lead(px) over w end / px - 1 as r from px window w as (partition by ticker order by month)) where r is not null)"""
 SPINE = f"""edges as (select series, min({MI('month')}) a, max({MI('month')}) b, max(tcode) tcode from macro group by series),
   sp as (select series, {IM('i')} as month, i, tcode from (select series, tcode, unnest(generate_series(a, b)) as i from edges)),
   full_m as (select sp.series, sp.month, sp.i, sp.tcode, m.value from sp left join macro m using (series, month))"""
@@ -57,7 +57,7 @@ def key_violations(s, d):
 
 
 def checked_join(s, d):
-    px = V.asset_prices(s, d, *V.SQL_MONTHS)
+    px = V.asset_prices(s, d)
     rank = px.select("month", "ticker", F.rank().over(W.partitionBy("month").orderBy(F.round("px", 6).desc())).alias("place"))
     return C.checked_join(px.select("month", "ticker", r8("px")), rank, ["month", "ticker"])
 

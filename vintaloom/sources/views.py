@@ -5,28 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.months import month_index
+from ..session import cut
 from .tables import table
 
-# The months that the SQL of the queries on asset_prices and asset_returns states; queries without SQL take all months.
-SQL_MONTHS = FIRST, LAST = "1995-02", "2001-07"
-
-
-def asset_prices(spark: SparkSession, d: str, first: str | None = None, last: str | None = None) -> DataFrame:
-    """(month, ticker, px): ten assets by order priority and line status, px the mean price of a unit; all months unless first or last is given."""
+def asset_prices(spark: SparkSession, d: str) -> DataFrame:
+    """(month, ticker, px): ten assets by order priority and line status, px the mean price of a unit."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linestatus", "l_extendedprice", "l_quantity", F.date_format("l_shipdate", "yyyy-MM").alias("month"))
     o = table(spark, d, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("p"))
-    if first:
-        li = li.filter(F.col("month") >= first)
-    if last:
-        li = li.filter(F.col("month") <= last)
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     return j.groupBy("month", F.concat("p", "l_linestatus").alias("ticker")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("px"))
 
 
-def asset_returns(spark: SparkSession, d: str, first: str | None = None, last: str | None = None) -> DataFrame:
-    """(month, ticker, r): next month's price over this month's, less one; the last month has none."""
-    nxt = F.lead("px").over(W.partitionBy("ticker").orderBy("month"))
-    return asset_prices(spark, d, first, last).withColumn("r", nxt / F.col("px") - 1).filter("r is not null").select("month", "ticker", "r")
+def asset_returns(spark: SparkSession, d: str) -> DataFrame:
+    """(month, ticker, r): next month's price over this month's, less one; none where the next month has no price.
+
+    Built once and written, since most readers join it with itself; months times tickers rows.
+    """
+    w = W.partitionBy("ticker").orderBy("month")
+    follows = month_index(F.lead("month").over(w)) == month_index(F.col("month")) + 1
+    return cut(asset_prices(spark, d).withColumn("r", F.when(follows, F.lead("px").over(w)) / F.col("px") - 1).filter("r is not null").select("month", "ticker", "r"))
 
 
 def macro_panel(spark: SparkSession, d: str) -> DataFrame:
@@ -39,10 +36,10 @@ def macro_panel(spark: SparkSession, d: str) -> DataFrame:
     return v.select("month", "series", "value", (F.col("series") % 7 + 1).alias("tcode"), (F.col("n_regionkey") + 2).alias("grp"))
 
 
-def regimes(months: DataFrame) -> DataFrame:
-    """(month, label): a fixed assignment of months to labels 0..5, for operators that need given labels."""
+def regimes(months: DataFrame, k: int = 6) -> DataFrame:
+    """(month, label): a fixed assignment of months to labels 0..k-1, for operators that need given labels."""
     mi = month_index(F.col("month"))
-    return months.select("month").distinct().select("month", F.pmod(mi * 7 + F.floor(mi / 5), F.lit(6)).cast("int").alias("label"))
+    return months.select("month").distinct().select("month", F.pmod(mi * 7 + F.floor(mi / 5), F.lit(k)).cast("int").alias("label"))
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
