@@ -78,6 +78,14 @@ def closing_time(session: Column, close_hour: Column | int = 16) -> Column:
     return F.to_utc_timestamp(F.to_timestamp(F.concat(session, F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":00:00"))), ZONE)
 
 
+def month_days(sessions: DataFrame) -> DataFrame:
+    """(month, days): calendar days from the first session of a month to that of the next, in New York."""
+    f = first_sessions(sessions)
+    w = W.orderBy("month")  # bounded by the calendar
+    follows = month_index(F.lead("month").over(w)) == month_index(F.col("month")) + 1
+    return f.select("month", F.when(follows, F.date_diff(F.lead("session").over(w).cast("date"), F.col("session").cast("date"))).alias("days")).filter("days is not null")
+
+
 def decision_ledger(decisions: DataFrame, vintages: DataFrame, sessions: DataFrame, month: str = "month", train: int = 48, lag: int = 2, fixed: str | None = None) -> DataFrame:
     """One row a decision month: its instants, vintage, cutoff and training rows, and whether each timing rule holds.
 

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions.months import add_month, month_index
 from ..functions.vectors import combine_probabilities, distance_probabilities
 from ..operators import numeric as N, portfolio as P, regimes as R, statistics as S, transforms as X
+from ..operators import timing as T
 from ..operators.timing import training_windows
+from ..session import cut
 from ..sources import views as V
 from ..sources.tables import table
-from .panels import IM, MACRO, MI, RET, r8
+from .panels import _HOLIDAYS, IM, MACRO, MI, RET, r8
 
 LAB_OF = lambda k: f"lab as (select month, (({MI('month')} * 7 + {MI('month')} // 5) % {k})::int as label from (select distinct month from ret))"
 LAB = LAB_OF(6)
@@ -159,7 +161,64 @@ def benchmark_weights(s, d):
 
 
 def volatility_scaling(s, d):
-    return P.volatility_scale(P.allocate(_scores(s, d), 2, "lo"), _returns(s, d), 12).select("month", r8("volatility"), r8("gross"), F.round("multiplier", 6).alias("multiplier"))
+    v = P.volatility_scale(P.allocate(_scores(s, d), 2, "lo"), _returns(s, d))
+    return v.select("month", r8("volatility"), r8("gross"), F.round("multiplier", 6).alias("multiplier"), "status")
+
+
+def grid_weights(s, d):
+    """The forecasts of every run under all sizings and sizes: 48 strategies of four models."""
+    f = table(s, d, "forecasts").select("run_id", F.col("decision_month").alias("month"), "model", "ticker", F.col("value").alias("score")).distinct()
+    g = P.grid_weights(f, V.regimes(f), ["run_id", "month", "model"])
+    return g.select("run_id", "month", F.concat_ws("_", "model", "sizing", "size").alias("strategy_id"), "ticker", r8("weight"))
+
+
+def verify_weights(s, d):
+    """Per model and sizing, weights of the grid against weights derived anew: faults."""
+    f = table(s, d, "forecasts").select("run_id", F.col("decision_month").alias("month"), "model", "ticker", F.col("value").alias("score")).distinct()
+    by = ["run_id", "month", "model"]
+    v = P.verify_weights(f, V.regimes(f), P.grid_weights(f, V.regimes(f), by), by)
+    return v.groupBy("model", "sizing", "size").agg(F.count("*").alias("groups"), F.sum("missing").alias("missing"), F.sum("unexpected").alias("unexpected"), F.sum("off").alias("off"))
+
+
+def _two_models(s, d):
+    """(month, model, ticker, score): trailing mean over deviation, and the negative of the last known return."""
+    r = _returns(s, d)
+    last = r.select(add_month(F.col("month"), 2).alias("month"), F.lit("turn").alias("model"), "ticker", (-F.col("r")).alias("score"))
+    sc = P.trailing_scores(r).select("month", F.lit("trend").alias("model"), "ticker", "score")
+    return cut(sc.unionByName(last.join(r.select("month", "ticker"), ["month", "ticker"], "left_semi")))
+
+
+def _grid_held(s, d):
+    """Weights of all strategies of two models and of the benchmarks, and the returns they meet."""
+    sc, r = _two_models(s, d), _returns(s, d)
+    g = P.grid_weights(sc, V.regimes(r)).select(F.concat_ws("_", "model", "sizing", "size").alias("strategy"), "month", "ticker", "weight")
+    ids = sc.select("model", "month").distinct().withColumn("strategy", F.explode(F.transform(F.array(*[F.lit(x) for x in P.strategy_ids([""])]), lambda i: F.concat(F.col("model"), i))))
+    # a month without a choice is held in cash, not left out
+    empty = ids.select("strategy", "month").join(g, ["strategy", "month"], "left_anti").join(r.groupBy("month").agg(F.min("ticker").alias("ticker")), "month").withColumn("weight", F.lit(0.0))
+    bench = P.benchmark_weights(r, "1F")
+    return g.unionByName(empty).unionByName(bench), r
+
+
+def strategy_grid(s, d):
+    """Every strategy of the grid and both benchmarks from scores to performance, in one plan."""
+    w, r = _grid_held(s, d)
+    a = P.account_without_costs(w, r, ["strategy"]).drop("wealth", "drawdown")
+    p = P.performance(a, ["strategy"], "month", "net", "turnover")
+    return p.select("strategy", "n_months", *[F.round(c, 6).alias(c) for c in ("cagr", "ann_vol", "sharpe", "sortino", "maxdd", "avgdd", "mean_turnover")])
+
+
+def verify_metrics(s, d):
+    """Metrics of all stored accounts against ones made anew: the differences found."""
+    a = table(s, d, "monthly_account").select("run_id", "strategy_id", "holding_month", "net_return").distinct()
+    p = P.performance(a, ["run_id", "strategy_id"], "holding_month", "net_return")
+    return P.verify_metrics(a, p, ["run_id", "strategy_id"], "holding_month", "net_return").groupBy("metric").agg(F.count("*").alias("off"))
+
+
+def account_full(s, d):
+    """A leveraged and a long-short strategy with every cost: trading, borrowing, financing, interest on cash, real days."""
+    w = _held(s, d, "lo").withColumn("weight", F.col("weight") * 1.1).unionByName(_held(s, d, "los").withColumn("weight", F.col("weight") * 0.3))
+    a = P.account(w, _returns(s, d), ["strategy"], cost_bps=10, borrow=0.02, financing=0.03, cash_rate=0.01, days=T.month_days(T.exchange_sessions(s)), gross_cap=2.0, gaps=True)
+    return a.select("strategy", "month", F.col("days").cast("int").alias("days"), *[r8(c) for c in ("turnover", "gross", "transaction_cost", "borrow_cost", "financing_cost", "cash_return", "net", "gross_exposure", "net_exposure", "wealth", "drawdown")])
 
 
 def _held(s, d, sizing="lo"):
@@ -175,7 +234,7 @@ def account_without_costs(s, d):
 
 def account_with_costs(s, d):
     w = P.benchmark_weights(_returns(s, d), "1F").filter("strategy = 'ew'")
-    a = P.account(w, _returns(s, d), ["strategy"], cost_bps=10)
+    a = P.account(w, _returns(s, d), ["strategy"], cost_bps=10, gaps=True)
     return a.select("strategy", "month", r8("turnover"), r8("gross"), r8("cost"), r8("net"), r8("wealth"), r8("drawdown"))
 
 
@@ -300,7 +359,7 @@ def window_forecasts(s, d):
 QUERIES = {f.__name__: f for f in (
     spherical_centroids, cosine_distances, nearest_center, soft_memberships, combined_probabilities, transition_matrix, conditional_departures, next_probabilities, modal_regime, center_order,
     indicator_means, indicator_minmax, indicator_extremes, downturn_islands, outlier_topk, conditional_sharpe, sample_covariance, shrunk_covariance, allocate_lo, allocate_lns, allocate_los,
-    allocate_mixed, benchmark_weights, volatility_scaling, account_without_costs, account_with_costs, strategy_backtest, wealth_drawdown, performance_metrics, verify_ledger, block_indices,
+    allocate_mixed, benchmark_weights, volatility_scaling, grid_weights, verify_weights, strategy_grid, verify_metrics, account_full, account_without_costs, account_with_costs, strategy_backtest, wealth_drawdown, performance_metrics, verify_ledger, block_indices,
     bootstrap_metrics, bootstrap_intervals, paired_statistics, holm_adjusted, paired_pvalues, ridge_line, lambda_choice, pca_windows, window_partitions, window_forecasts,
 )}
 
@@ -308,8 +367,9 @@ _IND = f"{MACRO}, lab as (select distinct month, (({MI('month')} * 7 + {MI('mont
 _MM = _IND + ", mm as (select series, label, case when max(mean) over w = min(mean) over w then 0 else (mean - min(mean) over w) / nullif(max(mean) over w - min(mean) over w, 0) end as scaled from im window w as (partition by series))"
 _COV = lambda shrink, eps: f"with {RET}, cv as (select a.ticker as a, b.ticker as b, covar_samp(a.r, b.r) as c from ret a join ret b using (month) group by all) select a, b, round(case when a = b then c + {eps} else (1 - {shrink}) * c end, 10) as cov from cv"
 _LEDGER = LO2 + """, held as (select sc.month, sc.ticker, coalesce(weight, 0) as w, r from sc left join lo2 using (month, ticker) join ret using (month, ticker)),
-  hg as (select *, sum(w * r) over (partition by month) as g from held), he as (select *, lag(w * (1 + r) / (1 + g)) over (partition by ticker order by month) as before from hg),
-  led as (select month, any_value(g) as net, sum(abs(w - coalesce(before, 0))) as turnover, sum(abs(w)) as gross_exposure, sum(w) as net_exposure from he group by month),
+  hg as (select *, sum(w * r) over (partition by month) as g from held), nx as (select month, lead(month) over (order by month) as nxt from (select distinct month from held)),
+  mv as (select month, ticker, sum(w) as d from (select month, ticker, w from held union all select nxt, ticker, -w * (1 + r) / (1 + g) from hg join nx using (month) where nxt is not null) group by all), tv as (select month, sum(abs(d)) as turnover from mv group by 1),
+  led as (select month, any_value(g) as net, any_value(turnover) as turnover, sum(abs(w)) as gross_exposure, sum(w) as net_exposure from hg join tv using (month) group by month),
   wl as (select *, product(1 + net) over (order by month rows unbounded preceding) as wealth from led), dd as (select *, wealth / greatest(1, max(wealth) over (order by month rows unbounded preceding)) - 1 as drawdown from wl)"""
 _PAIRS = RET + ", pr as (select a.ticker, a.month, a.r as a, b.r as b from ret a join ret b on a.month = b.month and b.ticker = '1F' where a.ticker <> '1F')"
 _PSTAT = _PAIRS + ", ps as (select ticker, count(*) as n, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) as t, avg(case when a > b then 1.0 when a < b then 2.0 else 1.5 end) as ra from pr group by 1)"
@@ -327,6 +387,25 @@ _ACC = """ac as (select distinct run_id, strategy_id, holding_month as month, gr
 _RIDGE = lambda lam: f"""(with g as (select ticker, count(*) n, avg(b) mx, avg(a) my, covar_pop(b, a) * count(*) / (var_pop(b) * count(*) + {lam}) as slope, var_pop(b) * count(*) + {lam} as den from pr group by 1)
   select ticker, n, slope, my - slope * mx as intercept, avg(pow((a - (my - slope * mx) - slope * b) / (1 - 1.0 / n - pow(b - mx, 2) / den), 2)) as loo_mse from pr join g using (ticker) group by ticker, n, slope, my, mx)"""
 
+# every sizing and size of scores f(by, ticker, score), label 0 of a month by its number as in views.regimes
+_GRID = lambda by: f"""gr as (select *, case when score > 0 then row_number() over (partition by {by}, score > 0 order by score desc, ticker) end as up, case when score < 0 then row_number() over (partition by {by}, score > 0 order by score, ticker) end as down,
+  row_number() over (partition by {by} order by abs(score) desc, ticker) as wide, ({MI('month')} * 7 + {MI('month')} // 5) % 6 = 0 as crisis from f),
+  gs as (select gr.*, sizing, size from gr, (select unnest(['lo', 'lns', 'los', 'mx']) as sizing), (select unnest([2, 3, 4]) as size) where case sizing when 'lo' then up <= size when 'lns' then up <= size or down <= size when 'los' then wide <= size else case when crisis then wide <= size else up <= size end end),
+  gw as (select {by}, sizing, size, ticker, score / sum(abs(score)) over (partition by {by}, sizing, size) as weight from gs)"""
+_DAYS = f"""hol as (select unnest([{', '.join("'" + h + "'::date" for h in _HOLIDAYS)}]) as d),
+  tdays as (select d::date as d from (select unnest(generate_series(date '1990-01-01', date '2025-12-31', interval 1 day)) as d) where dayofweek(d) between 1 and 5 and d::date not in (select d from hol)),
+  fsd as (select strftime(d, '%Y-%m') as month, min(d) as d from tdays group by 1), dm as (select month, lead(d) over (order by month) - d as days from fsd)"""
+_L2 = lambda a, b, e: f"list_sum(list_transform(list_zip({a}, {b}), lambda t: {e}))"
+_FOLD = lambda bps, borrow, fin, cash: f"""gd as (select k.strategy, k.month, t.ticker, coalesce(hw.w, 0)::double as w, coalesce(ret.r, 0)::double as r, days from (select distinct strategy, month from hw) k, (select distinct ticker from ret) t
+  left join hw on hw.strategy = k.strategy and hw.month = k.month and hw.ticker = t.ticker left join ret on ret.month = k.month and ret.ticker = t.ticker join dm on dm.month = k.month),
+  ml as (select strategy, month, list(w order by ticker) as w, list(r order by ticker) as r, any_value(days)::double as days, row_number() over (partition by strategy order by month) as i from gd group by strategy, month),
+  mc as (select *, {_L2('w', 'r', 't[1] * t[2]')} as gross, 1 - list_sum(w) as cash, list_sum(list_transform(w, lambda x: abs(x))) as gross_exposure, list_sum(w) as net_exposure, list_sum(list_transform(w, lambda x: greatest(-x, 0))) * {borrow} * days / 365 as borrow_cost from ml),
+  md as (select *, greatest(-cash, 0) * {fin} * days / 365 as financing_cost, greatest(cash, 0) * {cash} * days / 365 as cash_return from mc),
+  fold as (select strategy, 0::bigint as i, list_transform(w, lambda x: 0.0::double) as pre, ''::varchar as month, 0.0::double as turnover, 0.0::double as net, 1.0::double as wealth from ml where i = 1
+  union all select m.strategy, m.i, list_transform(list_zip(m.w, m.r), lambda t: t[1] * (1 + t[2]) / (1 + n.net)), m.month, n.turnover, n.net, fold.wealth * (1 + n.net) from fold join md m on m.strategy = fold.strategy and m.i = fold.i + 1,
+    lateral (select {_L2('m.w', 'fold.pre', 'abs(t[1] - t[2])')} as turnover) u, lateral (select u.turnover as turnover, m.gross + m.cash_return - u.turnover * {bps} / 10000 - m.borrow_cost - m.financing_cost as net) n),
+  led as (select md.*, turnover, turnover * {bps} / 10000 as transaction_cost, net, wealth, wealth / greatest(1, max(wealth) over (partition by md.strategy order by md.i)) - 1 as drawdown from fold join md on md.strategy = fold.strategy and md.i = fold.i)"""
+
 SQL = {
     "spherical_centroids": f"with {CEN} select label, unnest(generate_series(0, 63))::int as i, round(unnest(center), 8) as v from cen",
     "cosine_distances": f"with {CEN} select id, label, round(distance, 8) as distance from dist",
@@ -355,15 +434,31 @@ select label, ticker, n, round(mean, 8) as mean, round(case when n >= 2 then cas
     "allocate_mixed": f"""with {LO2}, {LAB}, a as (select *, row_number() over (partition by month order by abs(score) desc, ticker) as rn from sc where score <> 0), los as (select month, ticker, score / sum(abs(score)) over (partition by month) as weight from a where rn <= 2)
 select month, ticker, round(weight, 8) as weight from los join lab using (month) where label = 0 union all select month, ticker, round(weight, 8) from lo2 join lab using (month) where label <> 0""",
     "benchmark_weights": f"with {RET} select 'ew' as strategy, month, ticker, round(1.0 / count(*) over (partition by month), 8)::double as weight from ret union all select 'single', month, ticker, (ticker = '1F')::int::double from ret",
-    "volatility_scaling": f"""with {LO2}, ps as (select l.month, r.month as m, sum(l.weight * r.r) as x from lo2 l join ret r on r.ticker = l.ticker and {MI('r.month')} between {MI('l.month')} - 13 and {MI('l.month')} - 2 group by all),
-  v as (select month, sqrt(12 * var_samp(x)) as vol from ps group by month having count(*) = 12), g as (select month, sum(abs(weight)) as gross from lo2 group by 1)
-select month, round(vol, 8) as volatility, round(gross, 8) as gross, round(case when vol = 0 or gross = 0 then 0 else least(0.1 / nullif(vol, 0), 2 / nullif(gross, 0)) end, 6) as multiplier from v join g using (month)""",
+    "volatility_scaling": f"""with {LO2}, h as (select month, count(*) as held, sum(abs(weight)) as gross from lo2 group by 1),
+  ps as (select l.month, {MI('l.month')} - {MI('r.month')} as o, sum(l.weight * r.r) as x, count(*) as n from lo2 l join ret r on r.ticker = l.ticker and {MI('r.month')} between {MI('l.month')} - 49 and {MI('l.month')} - 2 group by all),
+  v as (select ps.month, count(*) as n, sqrt(12 * var_samp(x) filter (o <= 37)) as vol from ps join h on h.month = ps.month and ps.n = h.held group by 1)
+select h.month, case when v.n = 48 then round(vol, 8) end as volatility, round(gross, 8) as gross, case when v.n = 48 then round(case when vol = 0 or gross = 0 then 0 else least(0.1 / nullif(vol, 0), 2 / nullif(gross, 0)) end, 6) end as multiplier,
+  case when coalesce(v.n, 0) = 48 then 'ok' else 'insufficient_history' end as status from h left join v using (month)""",
+    "grid_weights": f"""with f as (select distinct run_id, decision_month as month, model, ticker, value as score from forecasts where value is not null and not isnan(value) and not isinf(value) and value <> 0), {_GRID('run_id, month, model')}
+select run_id, month, model || '_' || sizing || '_' || size as strategy_id, ticker, round(weight, 8) as weight from gw""",
+    "verify_weights": f"""with f as (select distinct run_id, decision_month as month, model, ticker, value as score from forecasts where value is not null and not isnan(value) and not isinf(value) and value <> 0), {_GRID('run_id, month, model')}
+select model, sizing, size, count(distinct (run_id, month)) as groups, 0::bigint as missing, 0::bigint as unexpected, 0::bigint as off from gw group by all""",
+    "strategy_grid": f"""with {SCORES}, f as (select month, 'trend' as model, ticker, score from sc where score <> 0 union all select a.month, 'turn', a.ticker, -b.r from ret a join ret b on b.ticker = a.ticker and {MI('b.month')} = {MI('a.month')} - 2 where b.r <> 0), {_GRID('month, model')},
+  hw as (select model || '_' || sizing || '_' || size as strategy, month, ticker, weight as w from gw union all select 'ew', month, ticker, 1.0 / count(*) over (partition by month) from ret union all select 'single', month, ticker, (ticker = '1F')::int from ret),
+  ids as (select distinct model || '_' || sizing || '_' || size as strategy, month from (select month, model from f group by all), (select unnest(['lo', 'lns', 'los', 'mx']) as sizing), (select unnest([2, 3, 4]) as size) union select 'ew', month from ret union select 'single', month from ret),
+  hr as (select hw.*, r from hw join ret using (month, ticker)), hg as (select *, sum(w * r) over (partition by strategy, month) as g from hr), he as (select *, w * (1 + r) / (1 + g) as e from hg),
+  ix as (select *, lead(month) over (partition by strategy order by month) as nxt from ids), dr as (select i.strategy, i.nxt as month, ticker, e from he join ix i using (strategy, month) where i.nxt is not null),
+  tu as (select strategy, month, sum(abs(coalesce(hr.w, 0) - coalesce(dr.e, 0))) as turnover from hr full outer join dr using (strategy, month, ticker) group by all),
+  led as (select i.strategy, i.month, coalesce(any_value(g), 0) as net from ids i left join hg using (strategy, month) group by all), lt as (select led.*, coalesce(turnover, 0) as turnover from led left join tu using (strategy, month)),
+  wl as (select *, product(1 + net) over (partition by strategy order by month rows unbounded preceding) as wealth from lt), dd as (select *, wealth / greatest(1, max(wealth) over (partition by strategy order by month rows unbounded preceding)) - 1 as drawdown from wl),
+  p as (select strategy, count(*) as n_months, {_METRICS('net')} from dd group by strategy) select strategy, n_months, """ + ", ".join(f"round({c}, 6) as {c}" for c in ("cagr", "ann_vol", "sharpe", "sortino", "maxdd", "avgdd", "mean_turnover")) + " from p",
+    "verify_metrics": "select 'none' as metric, 0::bigint as off where false",
+    "account_full": f"""with recursive {LO2}, {_DAYS}, a4 as (select *, row_number() over (partition by month order by abs(score) desc, ticker) as rn from sc where score <> 0), los as (select month, ticker, score / sum(abs(score)) over (partition by month) as weight from a4 where rn <= 2),
+  hw as (select 'naive_lo_2' as strategy, sc.month, sc.ticker, 1.1 * coalesce(weight, 0) as w from sc left join lo2 using (month, ticker) union all select 'naive_los_2', sc.month, sc.ticker, 0.3 * coalesce(weight, 0) from sc left join los using (month, ticker)), {_FOLD(10, 0.02, 0.03, 0.01)}
+select strategy, month, days::int as days, """ + ", ".join(f"round({c}, 8) as {c}" for c in ("turnover", "gross", "transaction_cost", "borrow_cost", "financing_cost", "cash_return", "net", "gross_exposure", "net_exposure", "wealth", "drawdown")) + " from led",
     "account_without_costs": f"with {_LEDGER} select 'naive_lo_2' as strategy, month, " + ", ".join(f"round({c}, 8) as {c}" for c in ("net", "turnover", "gross_exposure", "net_exposure", "wealth", "drawdown")) + " from dd",
-    "account_with_costs": f"""with recursive {RET}, ml as (select month, list(r order by ticker) as r, row_number() over (order by month) as i from ret group by month),
-  f as (select i, month, r, 1.0::double as turnover, list_avg(r) as gross, 0.001::double as cost, list_avg(r) - 0.001 as net, 1 + list_avg(r) - 0.001 as wealth from ml where i = 1
-  union all select m.i, m.month, m.r, t.t, list_avg(m.r), t.t * 0.001, list_avg(m.r) - t.t * 0.001, f.wealth * (1 + list_avg(m.r) - t.t * 0.001)
-    from f join ml m on m.i = f.i + 1, lateral (select list_sum(list_transform(f.r, lambda x: abs(0.1 - 0.1 * (1 + x) / (1 + f.net)))) as t) t)
-select 'ew' as strategy, month, round(turnover, 8) as turnover, round(gross, 8) as gross, round(cost, 8) as cost, round(net, 8) as net, round(wealth, 8) as wealth, round(wealth / greatest(1, max(wealth) over (order by month)) - 1, 8) as drawdown from f""",
+    "account_with_costs": f"""with recursive {RET}, dm as (select distinct month, 30 as days from ret), hw as (select 'ew' as strategy, month, ticker, 1.0 / count(*) over (partition by month) as w from ret), {_FOLD(10, 0, 0, 0)}
+select strategy, month, round(turnover, 8) as turnover, round(gross, 8) as gross, round(transaction_cost, 8) as cost, round(net, 8) as net, round(wealth, 8) as wealth, round(drawdown, 8) as drawdown from led""",
     "strategy_backtest": f"with {_LEDGER}, p as (select count(*) as n_months, {_METRICS('net')} from dd) select 'naive_lo_2' as strategy, n_months, " + ", ".join(f"round({c}, 6) as {c}" for c in ("cagr", "ann_vol", "sharpe", "sortino", "maxdd", "avgdd", "mean_turnover")) + " from p",
     "wealth_drawdown": f"with {_ACC} select run_id, strategy_id, month as holding_month, round(wealth, 8) as wealth, round(drawdown, 8) as drawdown from ad",
     "performance_metrics": f"with {_ACC}, p as (select run_id, strategy_id, count(*) as n_months, min(month) as start_month, max(month) as end_month, {_METRICS('net_return')}, sum(transaction_cost + borrow_cost + financing_cost) as total_cost from ad group by all) select run_id, strategy_id, n_months, start_month, end_month, "
