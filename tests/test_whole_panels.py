@@ -9,9 +9,9 @@ from vintaloom.sources import views
 def test_forecasts_use_every_series_and_month(spark, small):
     panel = views.macro_panel(spark, small)
     n, months = panel.select("series").distinct().count(), panel.select("month").distinct().count()
-    x = models._conditions(spark, small)
-    assert [tuple(r) for r in x.agg(F.count("*"), F.min(F.size("x")), F.max(F.size("x"))).collect()] == [(months, n, n)]
-    assert models.window_forecasts(spark, small).select("decision_month").distinct().count() > 20  # none before: no month has its 8 series
+    x = models._features(spark, small)
+    assert (x.select("series").distinct().count(), x.select("base_month").distinct().count()) == (n, months)
+    assert models.window_forecasts(spark, small).select("decision_month").distinct().count() > 20
 
 
 def test_returns_cover_every_month(spark, small):

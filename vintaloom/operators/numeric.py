@@ -69,15 +69,20 @@ def kmeans(x: np.ndarray, k: int, spherical: bool, seed: int = 0, starts: int =
     return best[1], best[2], best[3]
 
 
-def two_stage(x: np.ndarray, k: int = 5, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(labels, centers): the smaller of two Euclidean clusters is 0 (ties: first center), the rest are spherical clusters 1..k."""
-    first, c2, _ = kmeans(x, 2, False, seed)
+def two_stage_centers(x: np.ndarray, k: int = 5, seed: int = 0, starts: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(labels, all centers, stage-one centers with the smaller first, spherical centers): see two_stage."""
+    first, c2, _ = kmeans(x, 2, False, seed, starts)
     small = 0 if (first == 0).sum() <= (first == 1).sum() else 1
     rest = np.flatnonzero(first != small)
-    inner, centers, _ = kmeans(x[rest], min(k, len(rest)), True, seed)
+    inner, centers, _ = kmeans(x[rest], min(k, len(rest)), True, seed, starts)
     labels = np.zeros(len(x), dtype=int)
     labels[rest] = inner + 1
-    return labels, np.vstack([c2[small], centers])
+    return labels, np.vstack([c2[small], centers]), c2[[small, 1 - small]], centers
+
+
+def two_stage(x: np.ndarray, k: int = 5, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, centers): the smaller of two Euclidean clusters is 0 (ties: first center), the rest are spherical clusters 1..k."""
+    return two_stage_centers(x, k, seed)[:2]
 
 
 def ridge_path(x: np.ndarray, y: np.ndarray, lambdas: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,39 +185,6 @@ def window_partition(scores: DataFrame, window: str, row: str = "month", k: int
     return scores.groupBy(window).applyInPandas(fit, f"`{window}` {kind[window]}, `{row}` {kind[row]}, label int")
 
 
-def window_forecasts(joined: DataFrame, window: str, lambdas: tuple[float, ...] = tuple(np.logspace(-4, 4, 41)), shrink: float = 0.1, eps: float = 1e-8, tau: float = 0.05, delta: float = 3.0) -> DataFrame:
-    """(window, model, ticker, value): forecasts of each window from rows (window, month, ticker, r, label, x ARRAY, query ARRAY, modal INT).
-
-    naive: mean over deviation in the modal label; ridge: prediction at the query with the lambda of least leave-one-out error;
-    bl: utility direction of the posterior whose views are the modal label's means; mvo: utility direction of the sample moments.
-    """
-    kind = dict(joined.dtypes)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = _matrix(pdf, "month", "ticker", "r")
-        one = pdf.drop_duplicates("month").set_index("month").loc[r.index]
-        x, label, modal, query = np.stack(one["x"].to_list()), one["label"].to_numpy(), int(one["modal"].iloc[0]), np.asarray(one["query"].iloc[0])
-        y, lam = r.to_numpy(), np.asarray(lambdas)
-        mean, s = y.mean(axis=0), np.atleast_2d(np.cov(y.T))
-        cov = (1 - shrink) * s + shrink * np.diag(np.diag(s)) + eps * np.eye(len(s))
-        inside = y[label == modal]
-        n = len(inside)
-        sd = inside.std(axis=0, ddof=1) if n > 1 else np.zeros(len(mean))
-        naive = np.where(sd > 0, (inside.mean(axis=0) if n else 0) / np.where(sd > 0, sd, 1), 0.0)
-        ridge = []
-        for j in range(y.shape[1]):
-            coef, icpt, mse = ridge_path(x, y[:, j], lam)
-            i = choose_lambda(lam, mse)
-            ridge.append(float(query @ coef[i] + icpt[i]))
-        q = inside.mean(axis=0) if n >= 2 else mean
-        bl = utility_direction(black_litterman(mean, cov, q, np.eye(len(mean)), np.diag(np.diag(cov)) / max(n, 1), tau), cov, delta)
-        mvo = utility_direction(mean, cov, delta)
-        w = pdf[window].iloc[0]
-        return pd.concat([pd.DataFrame({window: w, "model": m, "ticker": r.columns, "value": v}) for m, v in (("naive", naive), ("ridge", ridge), ("bl", bl), ("mvo", mvo))])
-
-    return joined.groupBy(window).applyInPandas(fit, f"`{window}` {kind[window]}, model string, ticker string, value double")
-
-
 def ridge_line(pairs: DataFrame, by: str, lam: float) -> DataFrame:
     """(by, n, slope, intercept, loo_mse) of one-variable ridge regression in closed form, entirely as aggregates over rows (by, x, y)."""
     g = pairs.groupBy(by).agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.covar_pop("x", "y").alias("cxy"), F.var_pop("x").alias("vx"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.months import add_month, month_index
 from ..functions.vectors import combine_probabilities, distance_probabilities
 from ..operators import numeric as N, portfolio as P, regimes as R, statistics as S, transforms as X
-from ..operators import timing as T
+from ..operators import timing as T, windows as D
 from ..operators.timing import training_windows
 from ..session import cut
 from ..sources import views as V
@@ -338,29 +337,126 @@ def window_partitions(s, d):
     return N.window_partition(pca_windows(s, d), "decision_month")
 
 
-def _conditions(s, d):
-    """(month, x): every series of the macro panel in every month, gaps filled, each series to its own scale; a constant series gives 0."""
-    m = V.macro_panel(s, d).select("month", "series", "value")
-    grid = m.select("month").distinct().crossJoin(m.select("series").distinct())
-    filled = X.impute_bounded(grid.join(m, ["month", "series"], "left"), ["series"], "month", "value")
-    z = X.standardize(filled, ["series"], "imputed").withColumn("z", F.coalesce("z", F.lit(0.0)))
-    return z.groupBy("month").agg(F.array_sort(F.collect_list(F.struct("series", "z"))).getField("z").alias("x"))
+# the panel of nations has real gaps, up to half of its cells in small data
+SETTINGS = D.Settings(missing_rate=0.6)
+
+
+def r8_of(x):
+    return F.round(x, 8)
+
+
+
+def _features(s, d):
+    """(base_month, series, y, grp): the transformed macro panel."""
+    m = V.macro_panel(s, d)
+    y = X.transform_series(m, ["series"], "month", "value", "tcode")
+    return cut(y.join(m.groupBy("series").agg(F.max("grp").alias("grp")), "series").select(F.col("month").alias("base_month"), "series", "y", "grp"))
+
+
+def _decisions(s, d, panel, returns, settings=SETTINGS):
+    """(month): decisions for which the panel and the returns reach back far enough."""
+    a = panel.agg(F.min(month_index(F.col("base_month"))).alias("a"), F.max(month_index(F.col("base_month"))).alias("b"))
+    r = returns.agg(F.min(month_index(F.col("month"))).alias("c"))
+    i = month_index(F.col("month"))
+    ends = a.join(r, how="cross")  # one row
+    return returns.select("month").distinct().join(ends, how="cross").filter((i - settings.train - 1 >= F.col("c")) & (i - settings.train - 2 - settings.lag >= F.col("a")) & (i - settings.lag - 1 <= F.col("b"))).select("month")
+
+
+def _states(s, d):
+    panel, returns = _features(s, d), _returns(s, d)
+    return cut(D.window_states(panel, D.outer_windows(_decisions(s, d, panel, returns)), SETTINGS)), panel, returns
+
+
+def window_states(s, d):
+    st, _, _ = _states(s, d)
+    return st.select("decision_month", "first_target", "rows", F.size("columns").alias("series"), F.size("ratio").alias("components"), "counts", "skipped", "state_id")
+
+
+def window_labels(s, d):
+    return D.state_rows(_states(s, d)[0])
+
+
+def window_probabilities(s, d):
+    return D.probability_rows(_states(s, d)[0])
 
 
 def window_forecasts(s, d):
-    x = _conditions(s, d)
-    rows = _windows(s, d).join(V.asset_returns(s, d), "month").join(window_partitions(s, d), ["decision_month", "month"])
-    rows = rows.join(x.select(add_month(F.col("month"), 2).alias("month"), "x"), "month")
-    query = x.select(add_month(F.col("month"), 2).alias("decision_month"), F.col("x").alias("query"))
-    rows = rows.join(query, "decision_month").withColumn("modal", F.max_by("label", F.col("month")).over(W.partitionBy("decision_month")))
-    return N.window_forecasts(rows, "decision_month", tuple(float(v) for v in np.logspace(-4, 4, 41)))
+    st, _, returns = _states(s, d)
+    return D.window_forecasts(st, returns, SETTINGS)
+
+
+def window_balance(s, d):
+    """What every window must satisfy, per decision: rows, months read after the cutoff, probabilities that don't sum to 1, labels that don't fit the rows, forecasts per model."""
+    st, _, returns = _states(s, d)
+    f = cut(D.window_forecasts(st, returns, SETTINGS))
+    off = lambda c: F.when(F.abs(F.aggregate(c, F.lit(0.0), lambda a, b: a + b) - 1) > 1e-9, 1).otherwise(0)
+    late = F.size(F.filter("fit_months", lambda m: month_index(m) > month_index(F.col("decision_month")) - 4))
+    a = st.select("decision_month", "rows", late.alias("late"), (off(F.col("current_p")) + off(F.col("next_p"))).alias("sums_off"), F.when(F.size("labels") == F.col("rows"), 0).otherwise(1).alias("labels_off"))
+    n = f.filter("regime is null").groupBy("decision_month").agg(F.count_distinct("model").alias("models"), F.count_if((F.col("status") != "missing_history") & F.col("value").isNull()).alias("empty"), (F.count("*") / F.count_distinct("model")).cast("long").alias("tickers"))
+    # the final ridge forecast is the sum of its conditional ones weighted by the next probabilities
+    p = D.probability_rows(st).select("decision_month", "regime", "next_probability")
+    mix = f.filter("model = 'ridge' and regime is not null").join(p, ["decision_month", "regime"]).groupBy("decision_month", "ticker").agg(F.sum(F.col("value") * F.col("next_probability")).alias("mix"))
+    ridge = f.filter("model = 'ridge' and regime is null").join(mix, ["decision_month", "ticker"]).groupBy("decision_month").agg(F.count_if(F.abs(F.col("mix") - F.col("value")) > 1e-10).alias("mix_off"))
+    return a.join(n, "decision_month").join(ridge, "decision_month", "left").na.fill({"mix_off": 0})
+
+
+def regime_ridge(s, d):
+    """The window's regime-wise ridge with given states, so that SQL can follow it: one predictor (the panel's total), labels by month number, shares of labels as next probabilities, penalty 0.5."""
+    panel, returns = _features(s, d), _returns(s, d)
+    total = V.macro_panel(s, d).groupBy("month").agg((F.sum("value") / 1e6).alias("x"))
+    dec = D.outer_windows(_decisions(s, d, panel, returns))
+    t = training_windows(dec.select("decision_month"), "decision_month").join(V.regimes(returns).withColumnRenamed("month", "target_month"), "target_month")
+    t = t.join(total.select(F.col("month").alias("predictor_base_month"), "x"), "predictor_base_month")
+    rows = t.groupBy("decision_month").agg(F.array_sort(F.collect_list(F.struct("position", "label", "x"))).alias("z"))
+    share = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.size(F.filter("z", lambda e: e["label"] == k)) / 48.0)
+    query = total.select(add_month(F.col("month"), 3).alias("decision_month"), F.array("x").alias("current"))
+    given = dec.join(rows, "decision_month").join(query, "decision_month").select("decision_month", "window", "first_target", "rows", F.col("z.label").alias("labels"), F.transform("z", lambda e: F.array(e["x"])).alias("predictors"), "current", share.alias("next_p"))
+    fixed = dec.select("decision_month").join(returns.select("ticker").distinct(), how="cross").withColumn("lambda", F.lit(0.5))  # decisions times tickers
+    f = D.window_forecasts(given, returns, D.Settings(models=("ridge",)), fixed)
+    return f.filter("status <> 'missing_history'").groupBy("decision_month", "ticker").agg(r8_of(F.max(F.when(F.col("regime").isNull(), F.col("value")))).alias("value"), F.count_if(F.col("regime").isNotNull() & (F.col("fallback") == "pooled")).alias("pooled"))
+
+
+def forward_lambdas(s, d):
+    panel, returns = _features(s, d), _returns(s, d)
+    inner = D.inner_windows(_decisions(s, d, panel, returns))
+    quick = D.Settings(missing_rate=0.6, starts=4)  # 24 windows a decision
+    return D.forward_lambdas(D.forward_errors(D.window_states(panel, inner, quick), returns, quick))
+
+
+def random_controls(s, d):
+    """Ridge and naive forecasts of two random memberships of every window."""
+    st, _, returns = _states(s, d)
+    quick = D.Settings(models=("naive", "ridge"))
+    return D.window_forecasts(D.with_labels(st, [0, 1]), returns, quick, extra=["seed"]).filter("regime is null").select("seed", "decision_month", "model", "ticker", "value", "status")
+
+
+def regime_matches(s, d):
+    return D.match_states(_states(s, d)[0])
+
+
+def full_sample(s, d):
+    return D.full_sample(_features(s, d), SETTINGS)
+
+
+def grid_backtest(s, d):
+    """From prices and panel to performance: windows, forecasts of four models, 48 strategies and two benchmarks, costs, metrics."""
+    st, _, returns = _states(s, d)
+    f = cut(D.window_forecasts(st, returns, SETTINGS).filter("regime is null and value is not null").select(F.col("decision_month").alias("month"), "model", "ticker", F.col("value").alias("score")))
+    modal = st.select(F.col("decision_month").alias("month"), (F.array_position("next_p", F.array_max("next_p")) - 1).cast("int").alias("label"))
+    g = P.grid_weights(f, modal).select(F.concat_ws("_", "model", "sizing", "size").alias("strategy"), "month", "ticker", "weight")
+    ids = f.select("month").distinct().withColumn("strategy", F.explode(F.array(*[F.lit(x) for x in P.strategy_ids(SETTINGS.models)])))
+    held = returns.join(f.select("month").distinct(), "month", "left_semi")
+    empty = ids.join(g, ["strategy", "month"], "left_anti").join(held.groupBy("month").agg(F.min("ticker").alias("ticker")), "month").withColumn("weight", F.lit(0.0)).select("strategy", "month", "ticker", "weight")
+    w = g.join(held.select("month", "ticker"), ["month", "ticker"], "left_semi").unionByName(empty).unionByName(P.benchmark_weights(held, "1F"))
+    a = P.account(w, returns, ["strategy"], cost_bps=10, borrow=0.02, financing=0.02, days=T.month_days(T.exchange_sessions(s)))
+    return P.performance(a.drop("wealth", "drawdown"), ["strategy"], "month", "net", "turnover", F.col("cost"))
 
 
 QUERIES = {f.__name__: f for f in (
     spherical_centroids, cosine_distances, nearest_center, soft_memberships, combined_probabilities, transition_matrix, conditional_departures, next_probabilities, modal_regime, center_order,
     indicator_means, indicator_minmax, indicator_extremes, downturn_islands, outlier_topk, conditional_sharpe, sample_covariance, shrunk_covariance, allocate_lo, allocate_lns, allocate_los,
     allocate_mixed, benchmark_weights, volatility_scaling, grid_weights, verify_weights, strategy_grid, verify_metrics, account_full, account_without_costs, account_with_costs, strategy_backtest, wealth_drawdown, performance_metrics, verify_ledger, block_indices,
-    bootstrap_metrics, bootstrap_intervals, paired_statistics, holm_adjusted, paired_pvalues, ridge_line, lambda_choice, pca_windows, window_partitions, window_forecasts,
+    bootstrap_metrics, bootstrap_intervals, paired_statistics, holm_adjusted, paired_pvalues, ridge_line, lambda_choice, pca_windows, window_partitions, window_states, window_labels, window_probabilities, window_forecasts, window_balance, regime_ridge, forward_lambdas, random_controls, regime_matches, full_sample, grid_backtest,
 )}
 
 _IND = f"{MACRO}, lab as (select distinct month, (({MI('month')} * 7 + {MI('month')} // 5) % 6)::int as label from macro), im as (select series, label, avg(value) as mean, count(value) as n from macro join lab using (month) group by all)"
@@ -406,6 +502,8 @@ _FOLD = lambda bps, borrow, fin, cash: f"""gd as (select k.strategy, k.month, t.
     lateral (select {_L2('m.w', 'fold.pre', 'abs(t[1] - t[2])')} as turnover) u, lateral (select u.turnover as turnover, m.gross + m.cash_return - u.turnover * {bps} / 10000 - m.borrow_cost - m.financing_cost as net) n),
   led as (select md.*, turnover, turnover * {bps} / 10000 as transaction_cost, net, wealth, wealth / greatest(1, max(wealth) over (partition by md.strategy order by md.i)) - 1 as drawdown from fold join md on md.strategy = fold.strategy and md.i = fold.i)"""
 
+_DECISIONS = f"""dec as (select distinct month, {MI('month')} as i from ret where {MI('month')} - 49 >= (select min({MI('month')}) from ret) and {MI('month')} - 52 >= (select min({MI('month')}) from macro) and {MI('month')} - 3 <= (select max({MI('month')}) from macro))"""
+
 SQL = {
     "spherical_centroids": f"with {CEN} select label, unnest(generate_series(0, 63))::int as i, round(unnest(center), 8) as v from cen",
     "cosine_distances": f"with {CEN} select id, label, round(distance, 8) as distance from dist",
@@ -457,6 +555,17 @@ select model, sizing, size, count(distinct (run_id, month)) as groups, 0::bigint
   hw as (select 'naive_lo_2' as strategy, sc.month, sc.ticker, 1.1 * coalesce(weight, 0) as w from sc left join lo2 using (month, ticker) union all select 'naive_los_2', sc.month, sc.ticker, 0.3 * coalesce(weight, 0) from sc left join los using (month, ticker)), {_FOLD(10, 0.02, 0.03, 0.01)}
 select strategy, month, days::int as days, """ + ", ".join(f"round({c}, 8) as {c}" for c in ("turnover", "gross", "transaction_cost", "borrow_cost", "financing_cost", "cash_return", "net", "gross_exposure", "net_exposure", "wealth", "drawdown")) + " from led",
     "account_without_costs": f"with {_LEDGER} select 'naive_lo_2' as strategy, month, " + ", ".join(f"round({c}, 8) as {c}" for c in ("net", "turnover", "gross_exposure", "net_exposure", "wealth", "drawdown")) + " from dd",
+    "window_balance": f"""with {RET}, {MACRO}, {_DECISIONS}, k as (select dec.month, ret.ticker from dec join ret on {MI('ret.month')} between dec.i - 49 and dec.i - 2 group by all)
+select month as decision_month, 48 as rows, 0 as late, 0 as sums_off, 0 as labels_off, 4::bigint as models, 0::bigint as empty, count(*) as tickers, 0::bigint as mix_off from k group by month""",
+    "regime_ridge": f"""with {RET}, {MACRO}, {_DECISIONS}, {LAB}, b as (select {MI('month')} as i, sum(value) / 1e6 as x from macro group by 1),
+  t as (select dec.month as m, dec.i as mi, ret.ticker, label, b.x, ret.r as y from dec join ret on {MI('ret.month')} between dec.i - 49 and dec.i - 2 join lab on lab.month = ret.month join b on b.i = {MI('ret.month')} - 3),
+  full_t as (select m, ticker from t group by all having count(*) = 48),
+  g as (select m, mi, ticker, label, count(*) as n, avg(x) as mx, avg(y) as my, covar_pop(x, y) * count(*) as sxy, var_pop(x) * count(*) as sxx from t join full_t using (m, ticker) group by all),
+  a as (select m, ticker, avg(x) as mx, avg(y) as my, covar_pop(x, y) * count(*) as sxy, var_pop(x) * count(*) as sxx from t join full_t using (m, ticker) group by all),
+  q as (select full_t.*, r as label from full_t, (select unnest([1, 2, 3, 4, 5]) as r)),
+  f as (select q.m, q.ticker, coalesce(g.n, 0) as n, case when coalesce(g.n, 0) >= 6 then g.my + g.sxy / (g.sxx + 0.5) * (b.x - g.mx) else a.my + a.sxy / (a.sxx + 0.5) * (b.x - a.mx) end as pred
+    from q left join g using (m, ticker, label) join a using (m, ticker) join b on b.i = {MI('q.m')} - 3)
+select m as decision_month, ticker, round(sum(n / 48.0 * pred), 8) as value, count(*) filter (n < 6) as pooled from f group by all""",
     "account_with_costs": f"""with recursive {RET}, dm as (select distinct month, 30 as days from ret), hw as (select 'ew' as strategy, month, ticker, 1.0 / count(*) over (partition by month) as w from ret), {_FOLD(10, 0, 0, 0)}
 select strategy, month, round(turnover, 8) as turnover, round(gross, 8) as gross, round(transaction_cost, 8) as cost, round(net, 8) as net, round(wealth, 8) as wealth, round(drawdown, 8) as drawdown from led""",
     "strategy_backtest": f"with {_LEDGER}, p as (select count(*) as n_months, {_METRICS('net')} from dd) select 'naive_lo_2' as strategy, n_months, " + ", ".join(f"round({c}, 6) as {c}" for c in ("cagr", "ann_vol", "sharpe", "sortino", "maxdd", "avgdd", "mean_turnover")) + " from p",
