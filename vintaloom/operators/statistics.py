@@ -89,3 +89,66 @@ def holm(df: DataFrame, family: Sequence[str], p: str, order: str) -> DataFrame:
     n = F.count("*").over(W.partitionBy(*family))
     step = df.withColumn("_s", q * (n - F.row_number().over(w) + 1)).withColumn("_m", F.max("_s").over(w.rowsBetween(W.unboundedPreceding, 0)))
     return step.withColumn("p_holm", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col("_m")))).drop("_s", "_m")
+
+
+METRICS = ("sharpe", "sortino", "maxdd", "positive_ratio")
+
+
+def _long(metrics: DataFrame, by: Sequence[str]) -> DataFrame:
+    return metrics.unpivot(list(by), list(METRICS), "metric", "value")
+
+
+def compare_pairs(series: DataFrame, months: int, blocks: Sequence[int] = (12, 6, 24), draws: int = 1000, seed: int = 0) -> DataFrame:
+    """(pair, metric, block, low, high, valid, excluded): interval of treatment metric less the mean of the controls' defined metrics, under the same block draws for all.
+
+    series: (pair, side 'treatment' or 'control', seed, idx 0..months-1, x); a pair has one treatment and one control a seed.
+    """
+    spark = series.sparkSession
+    drawn = None
+    for b in blocks:
+        one = block_indices(spark, months, b, draws, seed).select(F.struct(F.lit(b).alias("block"), "draw").alias("draw"), "position", "idx")
+        drawn = one if drawn is None else drawn.unionByName(one)
+    by = ["pair", "side", "seed"]
+    m = _long(resampled_metrics(drawn, series, by), [*by, "draw"])
+    treated, control = F.col("side") == "treatment", F.col("side") == "control"
+    d = m.groupBy("pair", "metric", "draw").agg((F.max(F.when(treated, F.col("value"))) - F.avg(F.when(control, F.col("value")))).alias("difference"))
+    return interval(d.select("pair", "metric", "draw.block", "difference"), ["pair", "metric", "block"], "difference")
+
+
+def original_metrics(series: DataFrame, months: int) -> DataFrame:
+    """(pair, metric, treatment, control_mean, defined, excluded): metrics of the series as they are, the mean over controls whose metric is defined."""
+    order = series.sparkSession.range(months).select(F.lit(0).alias("draw"), F.col("id").alias("position"), F.col("id").alias("idx"))
+    by = ["pair", "side", "seed"]
+    m = _long(resampled_metrics(order, series, by), by)
+    control = F.col("side") == "control"
+    return m.groupBy("pair", "metric").agg(
+        F.max(F.when(~control, F.col("value"))).alias("treatment"), F.avg(F.when(control, F.col("value"))).alias("control_mean"),
+        F.count(F.when(control, F.col("value"))).alias("defined"), F.count_if(control & F.col("value").isNull()).alias("excluded"),
+    )
+
+
+def paired_by_draws(series: DataFrame, months: int, block: int = 12, seed: int = 1) -> DataFrame:
+    """(pair, metric, n, t, mean_rank_a, z, reason): paired tests over auxiliary draws, draw i of the treatment against control seed i (or the only control)."""
+    seeds = series.filter("side = 'control'").groupBy("pair").agg(F.count_distinct("seed").alias("seeds"))
+    most = seeds.agg(F.max("seeds")).first()[0] or 0
+    drawn = block_indices(series.sparkSession, months, block, most, seed)
+    by = ["pair", "side", "seed"]
+    m = _long(resampled_metrics(drawn, series, by), [*by, "draw"]).join(seeds, "pair")
+    fits = (F.col("side") == "treatment") | (F.col("seeds") == 1) | (F.col("seed") == F.col("draw"))
+    p = m.filter(fits).groupBy("pair", "metric", "draw").agg(F.max(F.when(F.col("side") == "treatment", F.col("value"))).alias("a"), F.max(F.when(F.col("side") == "control", F.col("value"))).alias("b"))
+    return paired_statistics(p.filter("a is not null and b is not null"), ["pair", "metric"])
+
+
+def with_pvalues(tests: DataFrame, family: Sequence[str] = ()) -> DataFrame:
+    """Add p_t (one-sided), p_nemenyi (two-sided) and both adjusted by Holm within the family."""
+    p = tests.withColumns({"p_t": student_tail(F.col("t"), F.col("n") - 1), "p_nemenyi": normal_tail(F.col("z")), "_o": F.concat_ws("|", *[c for c in ("pair", "metric", "ticker") if c in tests.columns]), "_f": F.lit(0)})
+    fam = list(family) or ["_f"]
+    p = holm(p, fam, "p_t", "_o").withColumnRenamed("p_holm", "holm_t")
+    return holm(p, fam, "p_nemenyi", "_o").withColumnRenamed("p_holm", "holm_nemenyi").drop("_o", "_f")
+
+
+def common_difference(base: DataFrame, variant: DataFrame, by: Sequence[str], month: str, net: str) -> tuple[DataFrame, DataFrame]:
+    """Both ledgers cut to the months they share (by group), for a comparison of their metrics."""
+    keys = [*by, month]
+    both = base.select(*keys).intersect(variant.select(*keys))
+    return base.join(both, keys, "left_semi"), variant.join(both, keys, "left_semi")

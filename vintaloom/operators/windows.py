@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -44,6 +44,18 @@ class Settings:
     models: tuple[str, ...] = ("naive", "ridge", "bl", "mvo")
 
 
+def sensitivity_variants(base: Settings = Settings()) -> dict[str, tuple[Settings, dict, str]]:
+    """One change at a time: name -> (settings, account options, curve 'plain' or 'scaled')."""
+    paid = lambda bps: {"cost_bps": bps, "borrow": 0.02, "financing": 0.02}
+    fits = {
+        "lag_1": {"lag": 1}, "lag_3": {"lag": 3}, "missing_rate_005": {"missing_rate": 0.05}, "ffill_limit_0": {"limit": 0}, "pca_090": {"variance": 0.9}, "pca_099": {"variance": 0.99},
+        "fallback_regime_mean": {"fallback": "regime_mean"}, "validation_forward": {}, "cov_shrink_0": {"shrink": 0.0}, "cov_shrink_025": {"shrink": 0.25}, "omega_scale_05": {"omega": 0.5}, "omega_scale_2": {"omega": 2.0},
+    }
+    out = {name: (replace(base, **change), {}, "plain") for name, change in fits.items()}
+    out |= {"cost_10bp": (base, paid(10.0), "plain"), "cost_25bp": (base, paid(25.0), "plain")}
+    return out | {"gross_cap_1": (base, {"scaled": {"cap": 1.0}}, "scaled"), "vol_lookback_12": (base, {"scaled": {"lookback": 12}}, "scaled")}
+
+
 # --- one window, in numpy
 
 

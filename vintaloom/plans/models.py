@@ -300,13 +300,76 @@ def paired_statistics(s, d):
 
 
 def holm_adjusted(s, d):
-    p = S.paired_statistics(_pairs(s, d), ["ticker"]).withColumn("p", F.round(1 / (1 + F.exp(1.702 * F.col("t"))), 9)).withColumn("family", F.lit("all"))
-    return S.holm(p, ["family"], "p", "ticker").select("ticker", "p", r8("p_holm"))
+    p = S.with_pvalues(S.paired_statistics(_pairs(s, d), ["ticker"]))
+    return p.select("ticker", *[F.round(c, 7).alias(c) for c in ("p_t", "p_nemenyi", "holm_t", "holm_nemenyi")])
 
 
 def paired_pvalues(s, d):
-    p = S.paired_statistics(_paired(V.asset_returns(s, d)), ["ticker"])
-    return p.select("ticker", F.round(S.student_tail(F.col("t"), F.col("n") - 1), 9).alias("p_t"), F.round(S.normal_tail(F.col("z")), 9).alias("p_nemenyi"))
+    p = S.paired_statistics(_pairs(s, d), ["ticker"])
+    return p.select("ticker", F.round(S.student_tail(F.col("t"), F.col("n") - 1), 7).alias("p_t"), F.round(S.normal_tail(F.col("z")), 7).alias("p_nemenyi"))
+
+
+def _compared(s, d):
+    """Two pairs of series: one asset against the other assets of its status as controls, one against a single control."""
+    x, months = _indexed(_returns(s, d))
+    full = x.groupBy("ticker").agg(F.count("*").alias("n")).filter(F.col("n") == months).select("ticker")
+    x = x.join(full, "ticker", "left_semi")
+    side = lambda pair, kind, rows, seed: rows.select(F.lit(pair).alias("pair"), F.lit(kind).alias("side"), seed.alias("seed"), "idx", "x")
+    controls = x.filter("ticker like '%O' and ticker <> '1O'")
+    number = F.dense_rank().over(W.partitionBy("idx").orderBy("ticker")) - 1
+    out = side("many", "treatment", x.filter("ticker = '1O'"), F.lit(0)).unionByName(side("many", "control", controls, number))
+    return out.unionByName(side("one", "treatment", x.filter("ticker = '3O'"), F.lit(0))).unionByName(side("one", "control", x.filter("ticker = '1O'"), F.lit(0))), months
+
+
+def profile_intervals(s, d):
+    c = S.compare_pairs(*_compared(s, d))
+    return c.select("pair", "metric", "block", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "valid", "excluded")
+
+
+def profile_originals(s, d):
+    c = S.original_metrics(*_compared(s, d))
+    return c.select("pair", "metric", F.round("treatment", 6).alias("treatment"), F.round("control_mean", 6).alias("control_mean"), "defined", "excluded")
+
+
+def profile_tests(s, d):
+    p = S.with_pvalues(S.paired_by_draws(*_compared(s, d)))
+    return p.select("pair", "metric", "n", F.round("t", 6).alias("t"), F.round("z", 6).alias("z"), "p_t", "p_nemenyi", "holm_t", "holm_nemenyi", "reason")
+
+
+REPRESENTATIVES = ("naive_lo_2", "ridge_lo_2", "bl_lo_2", "mvo_lo_2")
+
+
+def _variant_ledger(s, panel, returns, decisions, settings, account, fixed=None):
+    st = cut(D.window_states(panel, D.outer_windows(decisions, s=settings), settings, strict=False).filter("reason is null"))
+    f = D.window_forecasts(st, returns, settings, fixed).filter("regime is null and value is not null").select(F.col("decision_month").alias("month"), "model", "ticker", F.col("value").alias("score"))
+    modal = st.select(F.col("decision_month").alias("month"), (F.array_position("next_p", F.array_max("next_p")) - 1).cast("int").alias("label"))
+    g = P.grid_weights(f, modal, sizings=("lo",), sizes=(2,)).select(F.concat_ws("_", "model", "sizing", "size").alias("strategy"), "month", "ticker", "weight").join(returns.select("month", "ticker"), ["month", "ticker"], "left_semi")
+    gross = account.pop("scaled", None)
+    if gross is not None:
+        v = P.volatility_scale(g, returns, by=["strategy"], **gross).filter("status = 'ok'")
+        g = g.join(v.select("strategy", "month", "multiplier"), ["strategy", "month"]).withColumn("weight", F.col("weight") * F.col("multiplier")).drop("multiplier")
+    return P.account(g, returns, ["strategy"], gaps=True, days=T.month_days(T.exchange_sessions(s)), **account)
+
+
+def sensitivity(s, d):
+    """Each variant's metrics less the baseline's over the months they share, for the four representative strategies."""
+    panel, returns = _features(s, d), _returns(s, d)
+    base = D.Settings(missing_rate=0.6, starts=4)
+    dec = cut(_decisions(s, d, panel, returns, D.Settings(missing_rate=0.6, lag=3)))
+    out = None
+    ledgers = {}
+    for name, (settings, account, curve) in D.sensitivity_variants(base).items():
+        fixed = None
+        if name == "validation_forward":
+            fixed = D.forward_lambdas(D.forward_errors(D.window_states(panel, D.inner_windows(dec), settings, strict=False).filter("reason is null"), returns, settings))
+        key = "scaled" if curve == "scaled" else "plain"
+        if key not in ledgers:
+            ledgers[key] = cut(_variant_ledger(s, panel, returns, dec, base, {"scaled": {}} if key == "scaled" else {}))
+        a, b = S.common_difference(ledgers[key], cut(_variant_ledger(s, panel, returns, dec, settings, dict(account), fixed)), ["strategy"], "month", "net")
+        m = lambda x, tag: P.performance(x.drop("wealth", "drawdown"), ["strategy"], "month", "net").select("strategy", *[F.col(c).alias(f"{tag}_{c}") for c in S.METRICS], F.col("n_months").alias(f"{tag}_n"))
+        one = m(a, "a").join(m(b, "b"), "strategy").select(F.lit(name).alias("variant"), "strategy", F.col("a_n").alias("n_months"), *[(F.col(f"b_{c}") - F.col(f"a_{c}")).alias(c) for c in S.METRICS])
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def ridge_line(s, d):
@@ -456,7 +519,7 @@ QUERIES = {f.__name__: f for f in (
     spherical_centroids, cosine_distances, nearest_center, soft_memberships, combined_probabilities, transition_matrix, conditional_departures, next_probabilities, modal_regime, center_order,
     indicator_means, indicator_minmax, indicator_extremes, downturn_islands, outlier_topk, conditional_sharpe, sample_covariance, shrunk_covariance, allocate_lo, allocate_lns, allocate_los,
     allocate_mixed, benchmark_weights, volatility_scaling, grid_weights, verify_weights, strategy_grid, verify_metrics, account_full, account_without_costs, account_with_costs, strategy_backtest, wealth_drawdown, performance_metrics, verify_ledger, block_indices,
-    bootstrap_metrics, bootstrap_intervals, paired_statistics, holm_adjusted, paired_pvalues, ridge_line, lambda_choice, pca_windows, window_partitions, window_states, window_labels, window_probabilities, window_forecasts, window_balance, regime_ridge, forward_lambdas, random_controls, regime_matches, full_sample, grid_backtest,
+    bootstrap_metrics, bootstrap_intervals, paired_statistics, holm_adjusted, paired_pvalues, profile_intervals, profile_originals, profile_tests, sensitivity, ridge_line, lambda_choice, pca_windows, window_partitions, window_states, window_labels, window_probabilities, window_forecasts, window_balance, regime_ridge, forward_lambdas, random_controls, regime_matches, full_sample, grid_backtest,
 )}
 
 _IND = f"{MACRO}, lab as (select distinct month, (({MI('month')} * 7 + {MI('month')} // 5) % 6)::int as label from macro), im as (select series, label, avg(value) as mean, count(value) as n from macro join lab using (month) group by all)"
@@ -504,6 +567,20 @@ _FOLD = lambda bps, borrow, fin, cash: f"""gd as (select k.strategy, k.month, t.
 
 _DECISIONS = f"""dec as (select distinct month, {MI('month')} as i from ret where {MI('month')} - 49 >= (select min({MI('month')}) from ret) and {MI('month')} - 52 >= (select min({MI('month')}) from macro) and {MI('month')} - 3 <= (select max({MI('month')}) from macro))"""
 
+# tails by Simpson's rule: Student's through the angle atan(t / sqrt(df)), the normal one from 0 to z
+_SIMPSON = lambda b, f: f"({b}) / 2000 / 3 * list_sum(list_transform(range(0, 2001), lambda i: (case when i = 0 or i = 2000 then 1 when i % 2 = 1 then 4 else 2 end) * ({f(f'(({b}) * i / 2000)')})))"
+_PVALUES = _PSTAT + f""", pv as (select ticker, 0.5 - sign(t) * exp(lgamma(n / 2.0) - lgamma((n - 1) / 2.0)) / sqrt(pi()) * {_SIMPSON('atan(abs(t) / sqrt(n - 1))', lambda x: f'pow(cos({x}), n - 2)')} as p_t,
+  1 - 2 / sqrt(2 * pi()) * {_SIMPSON('abs(3 - 2 * ra) * sqrt(n)', lambda x: f'exp(-{x} * {x} / 2)')} as p_n from ps)"""
+_COMPARED = f"""{RET}, im as (select month, row_number() over (order by month) - 1 as idx from (select distinct month from ret)), nm as (select count(*) as n from im), x0 as (select ticker, idx, r as x from ret join im using (month)),
+  fl as (select ticker from x0 group by 1 having count(*) = (select n from nm)), x1 as (select * from x0 where ticker in (select ticker from fl)),
+  sr as (select 'many' as pair, 'treatment' as side, 0 as seed, idx, x from x1 where ticker = '1O' union all select 'many', 'control', dense_rank() over (partition by idx order by ticker) - 1, idx, x from x1 where ticker like '%O' and ticker <> '1O'
+    union all select 'one', 'treatment', 0, idx, x from x1 where ticker = '3O' union all select 'one', 'control', 0, idx, x from x1 where ticker = '1O')"""
+_ALL_BLOCKS = f"""st as (select block, draw, b, ('0x' || substr(md5('0-' || draw || '-' || b), 1, 8))::bigint % n as s, n from nm, (select unnest([12, 6, 24]) as block), (select unnest(generate_series(0, {DRAWS - 1})) as draw), lateral (select unnest(generate_series(0, (n - 1) // block)) as b)),
+  bi as (select block, draw, b * block + k as position, (s + k) % n as idx from st, lateral (select unnest(generate_series(0, block - 1)) as k) where b * block + k < n)"""
+_BM = """w as (select *, product(1 + x) over (partition by pair, side, seed, block, draw order by position rows unbounded preceding) as w from j), e as (select *, w / greatest(1, max(w) over (partition by pair, side, seed, block, draw order by position rows unbounded preceding)) - 1 as dd from w),
+  bm as (select pair, side, seed, block, draw, avg(x) / nullif(stddev_samp(x), 0) * sqrt(12) as sharpe, avg(x) / nullif(sqrt(avg(pow(least(x, 0), 2))), 0) * sqrt(12) as sortino, min(dd) as maxdd, avg((x > 0)::int) as positive_ratio from e group by all),
+  lm as (select pair, side, seed, block, draw, unnest(['sharpe', 'sortino', 'maxdd', 'positive_ratio']) as metric, unnest([sharpe, sortino, maxdd, positive_ratio]) as value from bm)"""
+
 SQL = {
     "spherical_centroids": f"with {CEN} select label, unnest(generate_series(0, 63))::int as i, round(unnest(center), 8) as v from cen",
     "cosine_distances": f"with {CEN} select id, label, round(distance, 8) as distance from dist",
@@ -578,8 +655,14 @@ select strategy, month, round(turnover, 8) as turnover, round(gross, 8) as gross
     "bootstrap_metrics": _BOOT + " select ticker, draw, round(sharpe, 6) as sharpe, round(sortino, 6) as sortino, round(maxdd, 6) as maxdd, round(positive_ratio, 6) as positive_ratio from bm",
     "bootstrap_intervals": _BOOT + " select ticker, round(quantile_cont(sharpe, 0.025), 6) as low, round(quantile_cont(sharpe, 0.975), 6) as high, count(sharpe) as valid, count(*) - count(sharpe) as excluded from bm group by ticker",
     "paired_statistics": f"with {_PSTAT} select ticker, n, round(t, 6) as t, round(ra, 8)::double as mean_rank_a, round(abs(3 - 2 * ra) / sqrt(1.0 / n), 6) as z, null::varchar as reason from ps",
-    "holm_adjusted": f"""with {_PSTAT}, p as (select ticker, round(1 / (1 + exp(1.702 * t)), 9) as p from ps), s as (select *, p * (count(*) over () - row_number() over (order by p, ticker) + 1) as s from p)
-select ticker, p, round(least(1, max(s) over (order by p, ticker rows unbounded preceding)), 8) as p_holm from s""",
+    "paired_pvalues": f"with {_PVALUES} select ticker, round(p_t, 7) as p_t, round(p_n, 7) as p_nemenyi from pv",
+    "holm_adjusted": f"""with {_PVALUES}, h as (select *, least(1, p_t * (count(*) over () - row_number() over (order by p_t, ticker) + 1)) as st, least(1, p_n * (count(*) over () - row_number() over (order by p_n, ticker) + 1)) as sn from pv)
+select ticker, round(p_t, 7) as p_t, round(p_n, 7) as p_nemenyi, round(max(st) over (order by p_t, ticker rows unbounded preceding), 7) as holm_t, round(max(sn) over (order by p_n, ticker rows unbounded preceding), 7) as holm_nemenyi from h""",
+    "profile_originals": f"""with {_COMPARED}, j as (select pair, side, seed, idx as position, 0 as block, 0 as draw, x from sr), {_BM}
+select pair, metric, round(max(value) filter (side = 'treatment'), 6) as treatment, round(avg(value) filter (side = 'control'), 6) as control_mean, count(value) filter (side = 'control') as defined, count(*) filter (side = 'control' and value is null) as excluded from lm group by all""",
+    "profile_intervals": f"""with {_COMPARED}, {_ALL_BLOCKS}, j as (select pair, side, seed, position, block, draw, x from bi join sr using (idx)), {_BM},
+  df as (select pair, metric, block, draw, max(value) filter (side = 'treatment') - avg(value) filter (side = 'control') as v from lm group by all)
+select pair, metric, block::int as block, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high, count(v) as valid, count(*) - count(v) as excluded from df group by all""",
     "ridge_line": f"with {_PAIRS} select ticker, n, round(slope, 8) as slope, round(intercept, 8) as intercept, round(loo_mse, 8) as loo_mse from {_RIDGE(0.5)}",
     "lambda_choice": f"with {_PAIRS}, grid as (select pow(10, -4 + i * 0.2) as lam from (select unnest(generate_series(0, 40)) as i)), g as (select ticker, count(*) n, avg(b) mx, avg(a) my, covar_pop(b, a) * count(*) as sxy, var_pop(b) * count(*) as sxx from pr group by 1), t as (select ticker, lam, avg(pow((a - my - sxy / (sxx + lam) * (b - mx)) / (1 - 1.0 / n - pow(b - mx, 2) / (sxx + lam)), 2)) as loo_mse from pr join g using (ticker), grid group by all), m as (select *, min(loo_mse) over (partition by ticker) as least_mse from t) select ticker, round(max(lam), 8) as lam from m where loo_mse <= least_mse * (1 + 1e-12) group by ticker",
 }
