@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.constraints import ContractError
 
+# The columns of a price file and the limits of an archive member.
 PRICE_SCHEMA = "date string, open double, high double, low double, close double, adj_close double, volume double, dividends double, splits double, capital_gains double"
 MAX_MEMBER, MAX_RATIO = 100_000_000, 1000
 
@@ -22,7 +23,7 @@ def read_prices(spark: SparkSession, paths: list[str], retrieved_at: str, closes
     """Per-ticker CSV files as one table; the ticker is the file's name.
 
     Columns may come in any order, any case and with blanks; absent event columns become NULL. A session is
-    final if its official close (closes: session, close_at; default 21:00 UTC) isn't later than retrieved_at.
+    final if its official close (closes: session, close_at; default 16:00 in New York) isn't later than retrieved_at.
     """
     raw = spark.read.option("header", True).option("encoding", "UTF-8")
     out = None
@@ -40,7 +41,7 @@ def read_prices(spark: SparkSession, paths: list[str], retrieved_at: str, closes
     out = out.select(F.substring("date", 1, 10).alias("session"), "ticker", *[(F.col(c).cast("double") if c in out.columns else F.lit(None).cast("double")).alias(c) for c in names])
     at = F.lit(retrieved_at).cast("timestamp")
     if closes is None:
-        return out.withColumn("finalized", F.to_timestamp(F.concat("session", F.lit(" 21:00:00"))) <= at).withColumn("retrieved_at", at)
+        return out.withColumn("finalized", F.to_utc_timestamp(F.to_timestamp(F.concat("session", F.lit(" 16:00:00"))), "America/New_York") <= at).withColumn("retrieved_at", at)
     return out.join(closes, "session", "left").withColumn("finalized", F.coalesce(F.col("close_at") <= at, F.lit(False))).withColumn("retrieved_at", at).drop("close_at")
 
 
