@@ -49,10 +49,12 @@ def checked_join(left: DataFrame, right: DataFrame, keys: Sequence[str], partiti
 def missing_cells(df: DataFrame, rows: str, cols: str) -> DataFrame:
     """(rows, cols) pairs absent from a panel that should hold every one of its row keys with every column key.
 
-    The column keys of a panel (series, tickers, models) are few; they are paired with the row keys on purpose.
+    The column keys of a panel (series, tickers, models) are few: each row key's set of them is taken from the
+    whole set, which is one row, so only missing pairs are ever made.
     """
-    r, c = df.select(rows).filter(F.col(rows).isNotNull()).distinct(), df.select(cols).filter(F.col(cols).isNotNull()).distinct()
-    return r.join(c, how="cross").join(df.select(rows, cols).distinct(), [rows, cols], "left_anti")
+    held = df.filter(F.col(rows).isNotNull()).groupBy(rows).agg(F.collect_set(cols).alias("_held"))
+    every = df.agg(F.collect_set(cols).alias("_all"))
+    return held.join(F.broadcast(every), how="cross").select(rows, F.explode(F.array_except("_all", "_held")).alias(cols))
 
 
 def null_without_reason(df: DataFrame, value: str, reason: str, by: Sequence[str]) -> DataFrame:

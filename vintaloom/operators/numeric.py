@@ -155,11 +155,13 @@ def gaussian_mixture(x: np.ndarray, labels: np.ndarray, reg: float = 1e-6, itera
 
 
 def _matrix(pdf: pd.DataFrame, row: str, col: str, value: str) -> pd.DataFrame:
-    return pdf.pivot_table(index=row, columns=col, values=value, aggfunc="max").sort_index().dropna(axis=1)
+    """Rows x columns in order; an absent cell takes its column's mean, so no column and no row is lost."""
+    m = pdf.pivot_table(index=row, columns=col, values=value, aggfunc="max").sort_index()
+    return m.fillna(m.mean())
 
 
 def window_components(panel: DataFrame, window: str, row: str = "month", col: str = "series", value: str = "z", threshold: float = 0.95) -> DataFrame:
-    """(window, row, component, score, ratio): principal components of each window's complete columns."""
+    """(window, row, component, score, ratio): principal components of each window's columns."""
     kind = dict(panel.dtypes)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -179,7 +181,7 @@ def window_partition(scores: DataFrame, window: str, row: str = "month", k: int
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         m = _matrix(pdf, row, "component", "score")
-        labels = two_stage(m.to_numpy(), k, seed)[0] if len(m) > k + 1 else np.zeros(len(m), dtype=int)
+        labels = two_stage(m.to_numpy(), k, seed)[0] if len(m) > 1 else np.zeros(len(m), dtype=int)
         return pd.DataFrame({window: pdf[window].iloc[0], row: m.index, "label": labels})
 
     return scores.groupBy(window).applyInPandas(fit, f"`{window}` {kind[window]}, `{row}` {kind[row]}, label int")
@@ -214,3 +216,33 @@ def least_error(tried: DataFrame, by: list[str], lam: str, error: str, rtol: flo
     """(by, lam): the penalty of least error; of errors within rtol of it, the greatest penalty. NULL errors can't be chosen."""
     least = F.min(error).over(W.partitionBy(*by))
     return tried.withColumn("_m", least).filter(F.col(error) <= F.col("_m") * (1 + rtol)).groupBy(*by).agg(F.max(lam).alias(lam))
+
+
+def require_spd(m: np.ndarray, rtol: float = 1e-12) -> np.ndarray:
+    """m itself if it is finite, square, symmetric and positive definite; ValueError otherwise."""
+    m = np.asarray(m, dtype=float)
+    if m.ndim != 2 or m.shape[0] != m.shape[1] or not np.isfinite(m).all() or not np.allclose(m, m.T, rtol=rtol, atol=0):
+        raise ValueError("not a finite symmetric matrix")
+    try:
+        np.linalg.cholesky(m)
+    except np.linalg.LinAlgError as e:
+        raise ValueError("not positive definite") from e
+    return m
+
+
+def require_probabilities(p: np.ndarray, tol: float = 1e-12) -> np.ndarray:
+    """p itself if it is a vector of finite numbers not below 0 that sum to 1; ValueError otherwise."""
+    p = np.asarray(p, dtype=float)
+    if p.ndim != 1 or not np.isfinite(p).all() or (p < 0).any() or abs(p.sum() - 1) > tol:
+        raise ValueError("not probabilities")
+    return p
+
+
+def aligned(values: dict, names: list) -> np.ndarray:
+    """The values in the order of names; ValueError unless the keys are exactly these and all values finite."""
+    if set(values) != set(names) or len(set(names)) != len(names):
+        raise ValueError("names differ")
+    out = np.array([float(values[n]) for n in names])
+    if not np.isfinite(out).all():
+        raise ValueError("a value isn't finite")
+    return out

@@ -229,6 +229,7 @@ def forecast(x: np.ndarray, y: np.ndarray, query: np.ndarray, labels: np.ndarray
     take the regime of greatest next probability, ties to the smallest; mvo takes none.
     """
     a = y.shape[1]
+    p = N.require_probabilities(p, 1e-9)
     modal = int(np.argmax(p))
     inside = y[labels == modal]
     n = len(inside)
@@ -256,7 +257,7 @@ def forecast(x: np.ndarray, y: np.ndarray, query: np.ndarray, labels: np.ndarray
         add("ridge", None, total, "expected_return", status="fallback" if used else "ok", reason=reason)
     if {"bl", "mvo"} & set(s.models):
         mean, c = y.mean(axis=0), np.atleast_2d(np.cov(y.T))
-        cov = (1 - s.shrink) * c + s.shrink * np.diag(np.diag(c)) + s.eps * np.eye(a)
+        cov = N.require_spd((1 - s.shrink) * c + s.shrink * np.diag(np.diag(c)) + s.eps * np.eye(a))
         if "bl" in s.models:
             few = n < 2
             q = mean if few else inside.mean(axis=0)

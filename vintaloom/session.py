@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def get_session(app: str = "vintaloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -68,6 +69,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df marked for a broadcast if it has at most `rows` rows, otherwise left to the optimizer; counts df."""
+    return broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so Python workers find it wherever they start."""
     sc = spark.sparkContext
