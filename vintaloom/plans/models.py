@@ -152,7 +152,8 @@ def allocate_los(s, d):
 
 
 def allocate_mixed(s, d):
-    return P.allocate_mixed(_scores(s, d), V.regimes(_returns(s, d)), 2).select("month", "ticker", r8("weight"))
+    r = _returns(s, d)
+    return P.allocate_mixed(P.trailing_scores(r), V.regimes(r), 2).select("month", "ticker", r8("weight"))
 
 
 def benchmark_weights(s, d):
@@ -160,7 +161,8 @@ def benchmark_weights(s, d):
 
 
 def volatility_scaling(s, d):
-    v = P.volatility_scale(P.allocate(_scores(s, d), 2, "lo"), _returns(s, d))
+    r = _returns(s, d)
+    v = P.volatility_scale(P.allocate(P.trailing_scores(r), 2, "lo"), r)
     return v.select("month", r8("volatility"), r8("gross"), F.round("multiplier", 6).alias("multiplier"), "status")
 
 
@@ -179,9 +181,8 @@ def verify_weights(s, d):
     return v.groupBy("model", "sizing", "size").agg(F.count("*").alias("groups"), F.sum("missing").alias("missing"), F.sum("unexpected").alias("unexpected"), F.sum("off").alias("off"))
 
 
-def _two_models(s, d):
+def _two_models(r):
     """(month, model, ticker, score): trailing mean over deviation, and the negative of the last known return."""
-    r = _returns(s, d)
     last = r.select(add_month(F.col("month"), 2).alias("month"), F.lit("turn").alias("model"), "ticker", (-F.col("r")).alias("score"))
     sc = P.trailing_scores(r).select("month", F.lit("trend").alias("model"), "ticker", "score")
     return cut(sc.unionByName(last.join(r.select("month", "ticker"), ["month", "ticker"], "left_semi")))
@@ -189,7 +190,8 @@ def _two_models(s, d):
 
 def _grid_held(s, d):
     """Weights of all strategies of two models and of the benchmarks, and the returns they meet."""
-    sc, r = _two_models(s, d), _returns(s, d)
+    r = _returns(s, d)
+    sc = _two_models(r)
     g = P.grid_weights(sc, V.regimes(r)).select(F.concat_ws("_", "model", "sizing", "size").alias("strategy"), "month", "ticker", "weight")
     ids = sc.select("model", "month").distinct().withColumn("strategy", F.explode(F.transform(F.array(*[F.lit(x) for x in P.strategy_ids([""])]), lambda i: F.concat(F.col("model"), i))))
     # a month without a choice is held in cash, not left out
@@ -215,31 +217,35 @@ def verify_metrics(s, d):
 
 def account_full(s, d):
     """A leveraged and a long-short strategy with every cost: trading, borrowing, financing, interest on cash, real days."""
-    w = _held(s, d, "lo").withColumn("weight", F.col("weight") * 1.1).unionByName(_held(s, d, "los").withColumn("weight", F.col("weight") * 0.3))
-    a = P.account(w, _returns(s, d), ["strategy"], cost_bps=10, borrow=0.02, financing=0.03, cash_rate=0.01, days=T.month_days(T.exchange_sessions(s)), gross_cap=2.0, gaps=True)
+    r = _returns(s, d)
+    w = _held(r, "lo").withColumn("weight", F.col("weight") * 1.1).unionByName(_held(r, "los").withColumn("weight", F.col("weight") * 0.3))
+    a = P.account(w, r, ["strategy"], cost_bps=10, borrow=0.02, financing=0.03, cash_rate=0.01, days=T.month_days(T.exchange_sessions(s)), gross_cap=2.0, gaps=True)
     return a.select("strategy", "month", F.col("days").cast("int").alias("days"), *[r8(c) for c in ("turnover", "gross", "transaction_cost", "borrow_cost", "financing_cost", "cash_return", "net", "gross_exposure", "net_exposure", "wealth", "drawdown")])
 
 
-def _held(s, d, sizing="lo"):
+def _held(r, sizing="lo"):
     """Weights for every ticker of every month with scores, 0 where not held."""
-    sc = _scores(s, d)
+    sc = P.trailing_scores(r)
     return sc.select("month", "ticker").join(P.allocate(sc, 2, sizing), ["month", "ticker"], "left").select(F.lit(f"naive_{sizing}_2").alias("strategy"), "month", "ticker", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
 def account_without_costs(s, d):
-    a = P.account_without_costs(_held(s, d), _returns(s, d), ["strategy"])
+    r = _returns(s, d)
+    a = P.account_without_costs(_held(r), r, ["strategy"])
     return a.select("strategy", "month", r8("net"), r8("turnover"), r8("gross_exposure"), r8("net_exposure"), r8("wealth"), r8("drawdown"))
 
 
 def account_with_costs(s, d):
-    w = P.benchmark_weights(_returns(s, d), "1F").filter("strategy = 'ew'")
-    a = P.account(w, _returns(s, d), ["strategy"], cost_bps=10, gaps=True)
+    r = _returns(s, d)
+    w = P.benchmark_weights(r, "1F").filter("strategy = 'ew'")
+    a = P.account(w, r, ["strategy"], cost_bps=10, gaps=True)
     return a.select("strategy", "month", r8("turnover"), r8("gross"), r8("cost"), r8("net"), r8("wealth"), r8("drawdown"))
 
 
 def strategy_backtest(s, d):
     """The whole chain in one plan: prices, returns, trailing scores, top two, ledger, performance."""
-    p = P.performance(P.account_without_costs(_held(s, d), _returns(s, d), ["strategy"]).drop("wealth", "drawdown"), ["strategy"], "month", "net", "turnover")
+    r = _returns(s, d)
+    p = P.performance(P.account_without_costs(_held(r), r, ["strategy"]).drop("wealth", "drawdown"), ["strategy"], "month", "net", "turnover")
     return p.select("strategy", "n_months", *[F.round(c, 6).alias(c) for c in ("cagr", "ann_vol", "sharpe", "sortino", "maxdd", "avgdd", "mean_turnover")])
 
 
