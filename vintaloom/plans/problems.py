@@ -27,7 +27,7 @@ def p1_fill_features(spark: SparkSession, d: str) -> DataFrame:
 def p1_marks(spark: SparkSession, d: str) -> DataFrame:
     """Every macro cell with its marks, and whether it holds a figure after the filling."""
     m = fill.fill_macro(table(spark, d, "macro_vintage"))
-    return m.select("vintage_month", "base_month", "series", "value_filled_as", "reason_filled_as", (F.col("filled_by") != "none").alias("has_value"), F.col("filled_reason").isNotNull().alias("has_reason"))
+    return m.select("vintage_month", "base_month", "series", "value_filled_as", "reason_filled_as", F.coalesce(F.col("filled_by") != "none", F.lit(True)).alias("has_value"), F.col("filled_reason").isNotNull().alias("has_reason"))
 
 
 def p1_masks(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +142,7 @@ union all select 'feature_result', window_id, base_month, series, 'imputed', cas
     "p1_marks": f"""
 with {_P1}
 select vintage_month, base_month, series, case when not ok then case when near = 1 then 'ffill' else 'median' end end as value_filled_as, case when not ok and silent then 'reason' end as reason_filled_as,
-  case when not ok then (series in (select series from g where ok)) or (vintage_month in (select vintage_month from g where ok)) end as has_value, not ok and silent as has_reason from g""",
+  coalesce(ok or series in (select series from g where ok) or vintage_month in (select vintage_month from g where ok), false) as has_value, not ok and silent as has_reason from g""",
     "p1_masks": f"""
 with {_P1}
 select window_id, base_month, series, case when gap then false else observed_mask end as filled_observed, case when gap then near = 1 else ffill_mask end as filled_ffill, case when gap then near = 0 else median_mask end as filled_median,
