@@ -64,6 +64,22 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares_reached(p9_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Per mix and source, what a mix must satisfy: copies beyond the limit, texts of another source, texts taken twice, tokens beyond the quota and one text."""
+    measured, targets = _measured(spark, d), table(spark, d, "mix_targets")
+    mixed = cut(mixing.mix_sources(measured, targets, id_col="doc_id", source_col="source", size_col="n_tokens", weight_col="weight"))
+    own = measured.filter("doc_id is not null and source is not null and n_tokens > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max("n_tokens").alias("size"), F.max("source").alias("home"))
+    sources = own.groupBy(F.col("home").alias("source")).agg(F.sum("size").alias("have"), F.max("size").alias("longest"))
+    everything = own.agg(F.sum("size")).first()[0] or 0
+    t = targets.filter("target_share > 0 and max_repeats > 0").groupBy("mix_name", "source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")).join(sources, "source")
+    got = mixed.join(own, "id", "left").groupBy("mix_name", "source").agg(
+        F.max("copies").alias("most"), F.count_if(~F.coalesce(F.col("home") == F.col("source"), F.lit(False))).alias("foreign"), (F.count("*") - F.count_distinct("id")).alias("repeated"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"),
+    )
+    quota = F.least(F.col("share") * F.lit(everything), F.col("repeats") * F.col("have"))
+    j = t.join(got, ["mix_name", "source"], "left")
+    return j.select("mix_name", "source", F.coalesce(F.col("most") > F.col("repeats"), F.lit(False)).alias("over_limit"), F.coalesce("foreign", F.lit(0)).alias("foreign"), F.coalesce("repeated", F.lit(0)).alias("repeated"), (F.abs(F.coalesce("tokens", F.lit(0)) - quota) > F.col("longest") + 1).alias("off_quota"))
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return abuse.score_pages(docs, abuse.fit_abuse(docs, table(spark, d, "abuse_labels")))
@@ -82,7 +98,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p5_found, p5_clusters, p5_peaks, p8_pack, p8_report, p8_balance, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
+    f.__name__: f for f in (p2_found, p5_found, p5_clusters, p5_peaks, p8_pack, p8_report, p8_balance, p9_mix, p9_shares, p9_balance, p10_found, p10_scores, p10_rates)
 }
 
 SQL: dict[str, str] = {
@@ -90,6 +106,16 @@ SQL: dict[str, str] = {
 select run_id, decision_month, model, ticker, rank_no::int as rank_no from (
   select *, row_number() over (partition by run_id, decision_month, model order by value desc, ticker) as rank_no
   from (select distinct run_id, decision_month, model, ticker, value from forecasts where value is not null and not isnan(value) and not isinf(value))) where rank_no <= 3""",
+    "p5_found": """
+with recursive v as (select score_id as id, arg_max(x, len(x)) as x from (select score_id, list_transform(scores, lambda t: t / list_max(list_transform(scores, lambda q: abs(q)))) as x from feature_scores
+    where score_id is not null and len(scores) > 0 and list_max(list_transform(scores, lambda q: abs(q))) > 0) group by 1),
+u as (select id, list_transform(x, lambda t: t / sqrt(list_sum(list_transform(x, lambda q: q * q)))) as u from v),
+e as (select a.id as a, b.id as b from u a join u b on a.id <> b.id and len(a.u) = len(b.u) and list_dot_product(a.u, b.u) >= 0.97),
+r(id, root) as (select id, id from u union select e.b, r.root from r join e on e.a = r.id)
+select id as score_id, min(root) as cluster_id from r group by id""",
+    "p9_balance": """
+with s as (select distinct source from documents where doc_id is not null and source is not null and text <> '')
+select mix_name, t.source, false as over_limit, 0::bigint as foreign, 0::bigint as repeated, false as off_quota from mix_targets t join s on s.source = t.source where target_share > 0 and max_repeats > 0 group by all""",
     "p8_balance": """
 with n as (select count(distinct doc_id) as items from documents where doc_id is not null and text <> '')
 select container_kind, items, 0::bigint as tokens_missing, 0::bigint as broken_items, 0::bigint as divided_needlessly, 0::bigint as overfull
