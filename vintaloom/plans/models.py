@@ -402,6 +402,34 @@ def pca_windows(s, d):
     return N.window_components(_windows(s, d).join(z, "month").withColumnRenamed("ticker", "series"), "decision_month")
 
 
+def pca_variance(s, d):
+    """Variance of each window's full set of component scores; SQL takes it from the standardized returns themselves."""
+    z = X.standardize(V.asset_returns(s, d), ["ticker"], "r")
+    full = z.groupBy("ticker").agg(F.count("*").alias("n"))
+    z = z.join(full.join(full.agg(F.max("n").alias("most")), how="cross").filter("n = most").select("ticker"), "ticker", "left_semi")
+    c = N.window_components(_windows(s, d).join(z, "month").withColumnRenamed("ticker", "series"), "decision_month", threshold=1.0)
+    return c.groupBy("decision_month").agg(F.count_distinct("month").alias("months"), F.round(F.sum(F.pow("score", 2)) / F.count_distinct("month"), 6).alias("variance"))
+
+
+def two_asset_views(s, d):
+    """Black-Litterman and mean-variance directions of every asset paired with 1F over all their common months, by the window's own forecast."""
+    r = _returns(s, d)
+    r = r.join(V.regimes(r), "month")
+    pair = r.filter("ticker <> '1F'").select(F.col("ticker").alias("pair"), "month", "label", F.col("r").alias("a")).join(r.filter("ticker = '1F'").select("month", F.col("r").alias("b")), "month")
+    settings = D.Settings(models=("bl", "mvo"))
+
+    def fit(pdf):
+        import numpy as np
+        import pandas as pd
+
+        y, labels = pdf[["a", "b"]].to_numpy(), pdf["label"].to_numpy()
+        p = np.bincount(labels, minlength=6) / len(labels)
+        rows = D.forecast(np.zeros((len(y), 1)), y, np.zeros(1), labels, p, settings)
+        return pd.DataFrame([(pdf["pair"].iloc[0], m, ("own", "1F")[j], v) for m, j, regime, v, *_ in rows if regime is None], columns=["pair", "model", "asset", "value"])
+
+    return pair.groupBy("pair").applyInPandas(fit, "pair string, model string, asset string, value double").select("pair", "model", "asset", F.round("value", 6).alias("value"))
+
+
 def window_partitions(s, d):
     return N.window_partition(pca_windows(s, d), "decision_month")
 
@@ -525,7 +553,7 @@ QUERIES = {f.__name__: f for f in (
     spherical_centroids, cosine_distances, nearest_center, soft_memberships, combined_probabilities, transition_matrix, conditional_departures, next_probabilities, modal_regime, center_order,
     indicator_means, indicator_minmax, indicator_extremes, downturn_islands, outlier_topk, conditional_sharpe, sample_covariance, shrunk_covariance, allocate_lo, allocate_lns, allocate_los,
     allocate_mixed, benchmark_weights, volatility_scaling, grid_weights, verify_weights, strategy_grid, verify_metrics, account_full, account_without_costs, account_with_costs, strategy_backtest, wealth_drawdown, performance_metrics, verify_ledger, block_indices,
-    bootstrap_metrics, bootstrap_intervals, paired_statistics, holm_adjusted, paired_pvalues, profile_intervals, profile_originals, profile_tests, sensitivity, ridge_line, lambda_choice, pca_windows, window_partitions, window_states, window_labels, window_probabilities, window_forecasts, window_balance, regime_ridge, forward_lambdas, random_controls, regime_matches, full_sample, grid_backtest,
+    bootstrap_metrics, bootstrap_intervals, paired_statistics, holm_adjusted, paired_pvalues, profile_intervals, profile_originals, profile_tests, sensitivity, ridge_line, lambda_choice, pca_windows, pca_variance, two_asset_views, window_partitions, window_states, window_labels, window_probabilities, window_forecasts, window_balance, regime_ridge, forward_lambdas, random_controls, regime_matches, full_sample, grid_backtest,
 )}
 
 _IND = f"{MACRO}, lab as (select distinct month, (({MI('month')} * 7 + {MI('month')} // 5) % 6)::int as label from macro), im as (select series, label, avg(value) as mean, count(value) as n from macro join lab using (month) group by all)"
@@ -638,6 +666,18 @@ select model, sizing, size, count(distinct (run_id, month)) as groups, 0::bigint
   hw as (select 'naive_lo_2' as strategy, sc.month, sc.ticker, 1.1 * coalesce(weight, 0) as w from sc left join lo2 using (month, ticker) union all select 'naive_los_2', sc.month, sc.ticker, 0.3 * coalesce(weight, 0) from sc left join los using (month, ticker)), {_FOLD(10, 0.02, 0.03, 0.01)}
 select strategy, month, days::int as days, """ + ", ".join(f"round({c}, 8) as {c}" for c in ("turnover", "gross", "transaction_cost", "borrow_cost", "financing_cost", "cash_return", "net", "gross_exposure", "net_exposure", "wealth", "drawdown")) + " from led",
     "account_without_costs": f"with {_LEDGER} select 'naive_lo_2' as strategy, month, " + ", ".join(f"round({c}, 8) as {c}" for c in ("net", "turnover", "gross_exposure", "net_exposure", "wealth", "drawdown")) + " from dd",
+    "pca_variance": f"""with {RET}, n as (select ticker, count(*) as n from ret group by 1), z as (select month, ticker, (r - avg(r) over w) / nullif(stddev_pop(r) over w, 0) as z from ret where ticker in (select ticker from n where n = (select max(n) from n)) window w as (partition by ticker)),
+  dec as (select distinct month, {MI('month')} as i from ret where {MI('month')} - 49 >= (select min({MI('month')}) from ret)), x as (select dec.month as decision_month, z.* from dec join z on {MI('z.month')} between dec.i - 49 and dec.i - 2),
+  v as (select decision_month, ticker, var_pop(z) as v, count(*) as k from x group by all) select decision_month, max(k) as months, round(sum(v), 6) as variance from v group by 1""",
+    "two_asset_views": f"""with {RET}, {LAB}, pr as (select a.ticker as pair, label, a.r as a, b.r as b from ret a join ret b on a.month = b.month and b.ticker = '1F' join lab on lab.month = a.month where a.ticker <> '1F'),
+  m as (select pair, avg(a) as ma, avg(b) as mb, var_samp(a) + 1e-8 as saa, var_samp(b) + 1e-8 as sbb, 0.9 * covar_samp(a, b) as sab from pr group by 1),
+  c as (select pair, label, count(*) as n, avg(a) as qa, avg(b) as qb from pr group by all), k as (select pair, arg_min(struct_pack(n := n, qa := qa, qb := qb), (-n, label)) as k from c group by 1),
+  g as (select m.*, k.k.n as n, case when k.k.n < 2 then ma else k.k.qa end as qa, case when k.k.n < 2 then mb else k.k.qb end as qb from m join k using (pair)),
+  h as (select *, 0.05 * saa + saa / greatest(n, 1) as haa, 0.05 * sbb + sbb / greatest(n, 1) as hbb, 0.05 * sab as hab from g), i as (select *, haa * hbb - hab * hab as det from h),
+  e as (select *, (hbb * (qa - ma) - hab * (qb - mb)) / det as ea, (haa * (qb - mb) - hab * (qa - ma)) / det as eb from i),
+  p as (select *, ma + 0.05 * (saa * ea + sab * eb) as pa, mb + 0.05 * (sab * ea + sbb * eb) as pb, 3 * (saa * sbb - sab * sab) as dd from e)
+select pair, 'mvo' as model, 'own' as asset, round((sbb * ma - sab * mb) / dd, 6) as value from p union all select pair, 'mvo', '1F', round((saa * mb - sab * ma) / dd, 6) from p
+union all select pair, 'bl', 'own', round((sbb * pa - sab * pb) / dd, 6) from p union all select pair, 'bl', '1F', round((saa * pb - sab * pa) / dd, 6) from p""",
     "window_balance": f"""with {RET}, {MACRO}, {_DECISIONS}, k as (select dec.month, ret.ticker from dec join ret on {MI('ret.month')} between dec.i - 49 and dec.i - 2 group by all)
 select month as decision_month, 48 as rows, 0 as late, 0 as sums_off, 0 as labels_off, 4::bigint as models, 0::bigint as empty, count(*) as tickers, 0::bigint as mix_off from k group by month""",
     "regime_ridge": f"""with {RET}, {MACRO}, {_DECISIONS}, {LAB}, b as (select {MI('month')} as i, sum(value) / 1e6 as x from macro group by 1),

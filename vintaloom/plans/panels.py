@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.months import add_month, is_month, month_index
-from ..operators import constraints as C, timing as T, transforms as X
+from ..operators import constraints as C, timing as T, transforms as X, windows as D
 from ..operators.spikes import latest_readings
 from ..sources import views as V
+from ..sources.datasets import official_closes as closes
+from ..sources.files import month_of_name
 from ..sources.tables import table
 
 PX = """px as (select strftime(l_shipdate, '%Y-%m') as month, substr(o_orderpriority, 1, 1) || l_linestatus as ticker, sum(l_extendedprice) / sum(l_quantity) as px
@@ -102,6 +104,27 @@ def first_session_faults(s, d):
     return C.first_session_faults(p.join(final, ["session", "ticker"]), T.first_sessions(p))
 
 
+def file_vintages(s, d):
+    f = table(s, d, "macro_raw_lines").select("file_name").distinct()
+    return f.select("file_name", month_of_name(F.col("file_name")).alias("vintage"))
+
+
+def final_sessions(s, d):
+    """Per session, readings taken after the official close, before it, and on days the exchange was shut."""
+    p = table(s, d, "prices").distinct().join(F.broadcast(closes(s)), "session", "left")  # some ten thousand sessions of a fixed calendar
+    late = F.col("retrieved_at").cast("timestamp") >= F.col("close_at")
+    return p.groupBy("session").agg(F.count_if(late).alias("final"), F.count_if(~late).alias("early"), F.count_if(F.col("close_at").isNull()).alias("shut"))
+
+
+def lambda_evidence(s, d):
+    """Selections and whether their evidence had ended before the decision of their month; without an end it never counts."""
+    first = T.first_sessions(T.exchange_sessions(s)).select(F.col("month").alias("decision_month"), T.decision_time(F.col("session")).alias("decision_at"))
+    sel = table(s, d, "lambda_selection").select("selection_id", "run_id", "decision_month", "selection_end_at").distinct()
+    usable = D.usable_selections(sel.withColumn("selection_end_at", F.col("selection_end_at").cast("timestamp")), first)
+    j = sel.join(usable.select("selection_id", F.lit(True).alias("usable")).distinct(), "selection_id", "left")
+    return j.select("selection_id", "run_id", "decision_month", F.coalesce("usable", F.lit(False)).alias("usable"))
+
+
 def month_literals(s, d):
     f = table(s, d, "lambda_selection").select("decision_month").distinct()
     return f.select("decision_month", is_month(F.col("decision_month")).alias("ok"), month_index(F.col("decision_month")).cast("int").alias("mi"), add_month(F.col("decision_month"), -14).alias("back14"))
@@ -212,13 +235,17 @@ def strategy_pivot(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    monthly_returns, price_violations, price_coverage, key_violations, checked_join, panel_gaps, null_reasons, vintage_catalog, group_alias, month_literals, calendar_spine, asof_vintage,
+    monthly_returns, price_violations, price_coverage, key_violations, checked_join, panel_gaps, null_reasons, vintage_catalog, group_alias, file_vintages, final_sessions, lambda_evidence, month_literals, calendar_spine, asof_vintage,
     training_windows, forward_folds, decision_ledger, first_sessions, holding_days, availability_times, tcode_transforms, bounded_ffill_median, imputation_counts, selection_reasons,
     standardized, code_domains, forecast_panel, account_gaps, first_session_faults, macro_pivot, macro_unpivot, overlay_updates, common_months, panel_except, strategy_pivot,
 )}
 
 # weekday holidays near a month's first session decide the instants: all of them, as dates
 _HOLIDAYS = sorted(str(x) for y in range(1990, 2026) for x in T.exchange_holidays(y))
+# half days by their rule: the day after the fourth Thursday of November, December 24 and July 3
+_CAL = f"""hol as (select unnest([{', '.join("'" + h + "'::date" for h in _HOLIDAYS)}]) as d),
+  days as (select d::date as d from (select unnest(generate_series(date '1990-01-01', date '2025-12-31', interval 1 day)) as d) where dayofweek(d) between 1 and 5 and d::date not in (select d from hol)),
+  half as (select d from days where (month(d) = 12 and day(d) = 24) or (month(d) = 7 and day(d) = 3) or (month(d) = 11 and dayofweek(d) = 5 and day(d) between 23 and 29))"""
 _DM = "dm as (select distinct holding_month as month from monthly_account)"
 _FIN = lambda c: f"({c} is not null and not isnan({c}) and not isinf({c}) and {c} > 0)"
 _PIVOT = f"with {MACRO} select month, " + ", ".join(f"round(sum(value) filter (series = {i}), 4) as s{i}" for i in SERIES) + " from macro group by month"
@@ -257,6 +284,12 @@ select decision_month, ok, case when ok then {MI('decision_month')} end as mi, c
 select k.month, u.opens as decision_at, vintage, {IM('k.i - 3')} as cutoff, n_rows, {IM('last_s')} as last_target, {IM('last_s - 2')} as last_base, coalesce(missing = 0 and ended < u.opens, false) as targets_ended, last_s - 2 <= k.i - 3 as bases_known,
   coalesce((({IM(MI('vintage') + ' + 2')} || '-01 00:00:00')::timestamp at time zone 'America/New_York') at time zone 'UTC' < u.opens, false) as vintage_available
 from k join g using (month) left join ut u on u.m = k.month""",
+    "file_vintages": """with f as (select distinct file_name from macro_raw_lines), g as (select file_name, regexp_extract(file_name, '(\\d{4})[-m](\\d{1,2})', ['y', 'm']) as x from f)
+select file_name, case when x.y <> '' then x.y || '-' || lpad(x.m, 2, '0') end as vintage from g""",
+    "final_sessions": f"""with {_CAL}, c as (select d::varchar as session, ((d || case when d in (select d from half) then ' 13:00:00' else ' 16:00:00' end)::timestamp at time zone 'America/New_York') at time zone 'UTC' as close_at from days)
+select session, count(*) filter (retrieved_at >= close_at) as final, count(*) filter (retrieved_at < close_at) as early, count(*) filter (close_at is null) as shut from (select distinct * from prices) left join c using (session) group by session""",
+    "lambda_evidence": f"""with {_CAL}, fs as (select strftime(d, '%Y-%m') as decision_month, ((min(d) || ' 09:00:00')::timestamp at time zone 'America/New_York') at time zone 'UTC' as decision_at from days group by 1)
+select distinct selection_id, run_id, decision_month, coalesce(selection_end_at < decision_at, false) as usable from lambda_selection left join fs using (decision_month)""",
     "first_sessions": "select substr(session, 1, 7) as month, min(session) as session from prices group by 1",
     "holding_days": "select run_id, holding_month, strategy_id, date_diff('day', (execution_at at time zone 'UTC' at time zone 'America/New_York')::date, (target_end at time zone 'UTC' at time zone 'America/New_York')::date)::int as days from (select distinct * from monthly_account)",
     "availability_times": f"with v as (select distinct vintage_month from macro_vintage) select vintage_month, (({IM(MI('vintage_month') + ' + 2')} || '-01 00:00:00')::timestamp at time zone 'America/New_York') at time zone 'UTC' as available_at from v",
