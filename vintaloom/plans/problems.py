@@ -173,3 +173,40 @@ select a.run_id, a.holding_month, a.strategy_id, coalesce(vm, '') as vintage_mon
 from a left join v using (run_id, holding_month, strategy_id) left join l using (run_id, holding_month, strategy_id)""",
 }
 SQL["p7_fine_shards"] = SQL["p7_found"]
+
+_RAW = """l as (select feed_id, vintage_month, line_no, arg_max(line, (received_at, line)) as line from macro_raw_lines where line is not null and feed_id is not null and vintage_month is not null group by all),
+b as (select * from l where not regexp_full_match(line, '[\\s,;|"'']*')), h as (select feed_id, vintage_month, min(line_no) as head, arg_min(line, line_no) as hl from b group by all),
+cn as (select *, length(hl) - length(replace(hl, ',', '')) as c1, length(hl) - length(replace(hl, ';', '')) as c2, length(hl) - length(replace(hl, chr(9), '')) as c3, length(hl) - length(replace(hl, '|', '')) as c4 from h),
+sp as (select *, case greatest(c1, c2, c3, c4) when c1 then ',' when c2 then ';' when c3 then chr(9) else '|' end as sep from cn),
+q as (select b.*, head, sep, list_aggregate(list_transform(string_split(line, '"'), lambda x, i: case when i % 2 = 0 then replace(x, sep, chr(1)) else x end), 'string_agg', '') as bare from b join sp using (feed_id, vintage_month)),
+c as (select feed_id, vintage_month, line_no, line_no = head as is_head, trim(replace(unnest(string_split(bare, sep)), chr(1), sep)) as cell, unnest(generate_series(1, len(string_split(bare, sep)))) as i from q)"""
+_HOW = rf"""case when lower(cell) in ({', '.join(f"'{x}'" for x in drift.EMPTY_CELLS)}) then null when regexp_matches(cell, '{drift.PLAIN}') then 'plain' when regexp_matches(cell, '^[+-]?\d{{1,3}}(,\d{{3}})+(\.\d+)?$') then 'thousands'
+  when regexp_matches(cell, '^[+-]?\d{{1,3}}(\.\d{{3}})*,\d+$') then 'comma' else '#' || lower(regexp_replace(regexp_replace(cell, '\d+([.,]\d+)*([eE][+-]?\d+)?', '9', 'g'), '\s+', '', 'g')) end"""
+_FIGURE = r"regexp_extract(regexp_replace(cell, '\s+', '', 'g'), '([+-]?[\d.,]*\d([eE][+-]?\d+)?)', 1)"
+SQL["p6_found"] = rf"""
+with {_RAW},
+nm as (select feed_id, vintage_month, i, cell as field from c where is_head and cell <> '' qualify row_number() over (partition by feed_id, vintage_month, cell order by i) = 1),
+ky as (select feed_id, vintage_month, line_no, any_value(cell) filter (i = 1) as key from c where not is_head group by all),
+n as (select c.feed_id, c.vintage_month, field, i, cell, case when key ilike 'transform%' then 'tcode' when key ilike 'group%' then 'grp' else 'data' end as kind,
+  case when regexp_matches(key, '^\d{{1,2}}/\d{{1,2}}/\d{{4}}$') then split_part(key, '/', 3) || '-' || lpad(split_part(key, '/', 1), 2, '0') when regexp_matches(key, '^\d{{4}}-\d{{1,2}}') then substr(key, 1, 4) || '-' || lpad(regexp_extract(key, '^\d{{4}}-(\d{{1,2}})', 1), 2, '0') end as bm
+  from c join nm using (feed_id, vintage_month, i) join ky using (feed_id, vintage_month, line_no) where not is_head),
+w as (select *, {_HOW} as fh, case when i = 1 then '@' || case when regexp_matches(cell, '^\d{{4}}') then 'y' else 'm' end || regexp_replace(regexp_replace(cell, '\d+', '9', 'g'), '[^9]', '/', 'g') end as dh from n),
+x as (select *, case when kind = 'data' then coalesce(dh, fh) end as how, case when fh is not null and i > 1 then try_cast(case when fh = 'comma' then replace(replace({_FIGURE}, '.', ''), ',', '.') else replace({_FIGURE}, ',', '') end as double) end as num from w),
+fc as (select feed_id, vintage_month, field, how, count(*) as k from x where how is not null group by all), fm as (select feed_id, vintage_month, field, arg_max(how, (k, how)) as most, bool_or(how = 'thousands') as th from fc group by all),
+fa as (select feed_id, vintage_month, field, min(i) = 1 as is_date, bool_or(kind = 'data' and how = 'plain' and abs(num) >= 1000) as big, max(num) filter (kind = 'tcode') as tcode, max(num) filter (kind = 'grp') as grp from x group by all),
+fd as (select fa.*, case when th and most = 'plain' and not coalesce(big, false) then 'thousands' else most end as how from fa left join fm using (feed_id, vintage_month, field)),
+st as (select feed_id, vintage_month as prev, lead(vintage_month) over (partition by feed_id order by vintage_month) as nxt from (select distinct feed_id, vintage_month from fd)),
+o as (select st.nxt, fd.* from fd join st on st.feed_id = fd.feed_id and st.prev = fd.vintage_month where st.nxt is not null), w2 as (select st.prev, fd.* from fd join st on st.feed_id = fd.feed_id and st.nxt = fd.vintage_month),
+gone as (select o.feed_id, o.nxt, o.vintage_month as prev, field, is_date, how, tcode, grp from o where not exists (select 1 from w2 where w2.feed_id = o.feed_id and w2.vintage_month = o.nxt and w2.field = o.field)),
+fresh as (select w2.feed_id, vintage_month as nxt, prev, field, is_date, how, tcode, grp from w2 where not exists (select 1 from o where o.feed_id = w2.feed_id and o.nxt = w2.vintage_month and o.field = w2.field)),
+fg as (select distinct feed_id, vintage_month, field, bm, round(num, 9) as v from x where kind = 'data' and i > 1 and num is not null and bm is not null),
+go as (select g.feed_id, g.nxt, g.field as former, bm, v from gone g join fg on fg.feed_id = g.feed_id and fg.vintage_month = g.prev and fg.field = g.field), fr as (select f.feed_id, f.nxt, f.field, bm, v from fresh f join fg on fg.feed_id = f.feed_id and fg.vintage_month = f.nxt and fg.field = f.field),
+sm as (select feed_id, nxt, former, field, count(distinct go.bm) as same from go join fr using (feed_id, nxt, bm, v) group by all having count(distinct go.bm) >= 2),
+cm as (select sm.*, (select count(*) from (select bm from go where go.feed_id = sm.feed_id and go.nxt = sm.nxt and go.former = sm.former intersect select bm from fr where fr.feed_id = sm.feed_id and fr.nxt = sm.nxt and fr.field = sm.field)) as common from sm),
+bt as (select *, row_number() over (partition by feed_id, nxt, field order by same / common desc, same desc, former, field) as r1, row_number() over (partition by feed_id, nxt, former order by same / common desc, same desc, former, field) as r2 from cm where same >= 0.7 * common),
+rn as (select feed_id, nxt, former, field from bt where r1 = 1 and r2 = 1 union all select g.feed_id, g.nxt, g.field, f.field from gone g join fresh f using (feed_id, nxt) where g.is_date and f.is_date),
+pr as (select o.feed_id, o.nxt, o.field, '' as former, o.how oh, w2.how nh, o.tcode ot, w2.tcode nt, o.grp og, w2.grp ng from o join w2 on w2.feed_id = o.feed_id and w2.vintage_month = o.nxt and w2.field = o.field
+  union all select rn.feed_id, rn.nxt, rn.field, rn.former, g.how, f.how, g.tcode, f.tcode, g.grp, f.grp from rn join gone g on g.feed_id = rn.feed_id and g.nxt = rn.nxt and g.field = rn.former join fresh f on f.feed_id = rn.feed_id and f.nxt = rn.nxt and f.field = rn.field),
+al as (select feed_id, nxt, field, 'renamed' as change_kind, former from rn union all select feed_id, nxt, field, 'retyped', '' from pr where oh <> nh union all select feed_id, nxt, field, 'tcode', '' from pr where ot <> nt union all select feed_id, nxt, field, 'group', '' from pr where og <> ng
+  union all select feed_id, nxt, field, 'added', '' from fresh f where not exists (select 1 from rn where rn.feed_id = f.feed_id and rn.nxt = f.nxt and rn.field = f.field) union all select feed_id, nxt, field, 'removed', '' from gone g where not exists (select 1 from rn where rn.feed_id = g.feed_id and rn.nxt = g.nxt and rn.former = g.field))
+select feed_id, nxt as vintage_month, field, change_kind, former as former_field from al"""
