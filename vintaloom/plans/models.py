@@ -345,8 +345,7 @@ def profile_tests(s, d):
 REPRESENTATIVES = ("naive_lo_2", "ridge_lo_2", "bl_lo_2", "mvo_lo_2")
 
 
-def _variant_ledger(s, panel, returns, decisions, settings, account, fixed=None):
-    st = cut(D.window_states(panel, D.outer_windows(decisions, s=settings), settings, strict=False).filter("reason is null"))
+def _variant_ledger(s, st, returns, settings, account, fixed=None):
     f = D.window_forecasts(st, returns, settings, fixed).filter("regime is null and value is not null").select(F.col("decision_month").alias("month"), "model", "ticker", F.col("value").alias("score"))
     modal = st.select(F.col("decision_month").alias("month"), (F.array_position("next_p", F.array_max("next_p")) - 1).cast("int").alias("label"))
     g = P.grid_weights(f, modal, sizings=("lo",), sizes=(2,)).select(F.concat_ws("_", "model", "sizing", "size").alias("strategy"), "month", "ticker", "weight").join(returns.select("month", "ticker"), ["month", "ticker"], "left_semi")
@@ -363,15 +362,23 @@ def sensitivity(s, d):
     base = D.Settings(missing_rate=0.6, starts=4)
     dec = cut(_decisions(s, d, panel, returns, D.Settings(missing_rate=0.6, lag=3)))
     out = None
-    ledgers = {}
+    ledgers, fitted = {}, {}
+
+    def states(settings):
+        """States by what their fit depends on; variants of later steps share them."""
+        key = (settings.lag, settings.missing_rate, settings.limit, settings.variance)
+        if key not in fitted:
+            fitted[key] = cut(D.window_states(panel, D.outer_windows(dec, s=settings), settings, strict=False).filter("reason is null"))
+        return fitted[key]
+
     for name, (settings, account, curve) in D.sensitivity_variants(base).items():
         fixed = None
         if name == "validation_forward":
             fixed = D.forward_lambdas(D.forward_errors(D.window_states(panel, D.inner_windows(dec), settings, strict=False).filter("reason is null"), returns, settings))
         key = "scaled" if curve == "scaled" else "plain"
         if key not in ledgers:
-            ledgers[key] = cut(_variant_ledger(s, panel, returns, dec, base, {"scaled": {}} if key == "scaled" else {}))
-        a, b = S.common_difference(ledgers[key], cut(_variant_ledger(s, panel, returns, dec, settings, dict(account), fixed)), ["strategy"], "month", "net")
+            ledgers[key] = cut(_variant_ledger(s, states(base), returns, base, {"scaled": {}} if key == "scaled" else {}))
+        a, b = S.common_difference(ledgers[key], cut(_variant_ledger(s, states(settings), returns, settings, dict(account), fixed)), ["strategy"], "month", "net")
         m = lambda x, tag: P.performance(x.drop("wealth", "drawdown"), ["strategy"], "month", "net").select("strategy", *[F.col(c).alias(f"{tag}_{c}") for c in S.METRICS], F.col("n_months").alias(f"{tag}_n"))
         one = m(a, "a").join(m(b, "b"), "strategy").select(F.lit(name).alias("variant"), "strategy", F.col("a_n").alias("n_months"), *[(F.col(f"b_{c}") - F.col(f"a_{c}")).alias(c) for c in S.METRICS])
         out = one if out is None else out.unionByName(one)

@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     known = getattr(sc, "_vintaloom_folder", None)
     if known:
         return known
-    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
